@@ -2,3 +2,6 @@ from adlens.sources.adapter import ad_report, ad_report_plan
 from adlens.sources.exports import ExportLoad, read_exports, union_frames
 
 __all__ = ["ad_report", "ad_report_plan", "ExportLoad", "read_exports", "union_frames"]
+from adlens.sources.sinks import load_ads, save_ads, write_correlation_csv, write_csv  # noqa: E402
+
+__all__ += ["load_ads", "save_ads", "write_correlation_csv", "write_csv"]

@@ -1,0 +1,24 @@
+"""Incremental ingestion: files dropped in two rounds are loaded once each."""
+
+import os
+
+from adlens import operators as op
+from adlens.streaming import read_streamed, stream_exports
+from tests.fixtures import HEADER, NAME_A, NAME_B, SAMPLE_A, SAMPLE_B, write
+
+
+def test_two_drops_loaded_once(spark, workdir):
+    drop, table, ckpt = (os.path.join(workdir, x) for x in ("drop", "table", "ckpt"))
+    write(drop, NAME_A, [HEADER] + SAMPLE_A)
+    q = stream_exports(spark, drop, table, checkpoint=ckpt)
+    q.awaitTermination(120)
+    assert read_streamed(spark, table).count() == 2
+
+    write(drop, NAME_B, [HEADER] + SAMPLE_B)
+    q = stream_exports(spark, drop, table, checkpoint=ckpt)  # restart from the checkpoint
+    q.awaitTermination(120)
+    t = read_streamed(spark, table)
+    assert t.count() == 4
+    assert op.kpis(t).first().total_impressions == 997176
+    rep = spark.read.parquet(table + "_report")
+    assert sorted(r.source_file for r in rep.collect()) == [NAME_A, NAME_B]
