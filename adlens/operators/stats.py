@@ -69,30 +69,55 @@ def _positions(n: Column, p: float, method: str) -> Column:
     return F.least(F.greatest(pos, F.lit(0.0)), (n - 1).cast("double"))
 
 
+def ranked_in_groups(base: DataFrame, dim: str, value: str = "x",
+                     partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """0-based rank of every row inside its ``dim`` group in ``value`` order.
+
+    Returns ``(rows, runs)``: ``rows`` = (dim, value, _r, n) and ``runs`` =
+    one row per (partition, group) with the group's size ``n`` and min/max.
+    The rows are range-partitioned on (dim, value) - a hot group is cut
+    into several partitions by value - and sorted; a row's rank is the
+    number of rows of its group in earlier partitions plus its position in
+    its own partition's run of that group.
+    """
+    n_parts = _partitions(base.sparkSession, partitions)
+    r = (base.repartitionByRange(n_parts, dim, value).sortWithinPartitions(dim, value)
+         .selectExpr("*", "spark_partition_id() AS _pid", "monotonically_increasing_id() AS _mid"))
+    d = _q(dim)
+    runs = (r.groupBy("_pid", dim)
+            .agg(F.expr("count(1) AS _cnt"), F.expr("min(_mid) AS _first"),
+                 F.expr(f"min({_q(value)}) AS _lo"), F.expr(f"max({_q(value)}) AS _hi"))
+            .selectExpr("*",
+                        f"coalesce(sum(_cnt) OVER (PARTITION BY {d} ORDER BY _pid "
+                        f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before",
+                        f"sum(_cnt) OVER (PARTITION BY {d}) AS n"))
+    rows = (r.join(runs.select("_pid", dim, "_first", "_before", "n"), ["_pid", dim])
+            .selectExpr(d, _q(value), "_before + (_mid - _first) AS _r", "n"))
+    return rows, runs
+
+
 def _quartiles_exact(base: DataFrame, dim: str, method: str, partitions: int | None) -> DataFrame:
-    ranked = global_row_number(base, [dim, "x"], "_g", partitions)
-    groups = ranked.groupBy(dim).agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.min("_g").alias("_g0"))
-    cols = []
+    rows, runs = ranked_in_groups(base, dim, "x", partitions)
+    d = _q(dim)
+    groups = runs.groupBy(dim).agg(F.expr("sum(_cnt) AS n"), F.expr("min(_lo) AS min"),
+                                   F.expr("max(_hi) AS max"))
+    pos_cols = []
     for name, p in QUARTILES:
-        pos = _positions(F.col("n"), p, method)
-        cols += [F.floor(pos).alias(f"_{name}_lo"), F.ceil(pos).alias(f"_{name}_hi"),
-                 (pos - F.floor(pos)).alias(f"_{name}_f")]
-    targets = groups.select("*", *cols)
-    # keep only the ranks interpolation needs (<= 6 rows per group)
-    wanted = F.col("_r").isin(*[F.col(f"_{q}_{e}") for q, _ in QUARTILES for e in ("lo", "hi")])
-    picked = (ranked.join(targets.select(dim, "_g0", *[f"_{q}_{e}" for q, _ in QUARTILES
-                                                        for e in ("lo", "hi")]), dim)
-              .withColumn("_r", F.col("_g") - F.col("_g0"))
-              .where(wanted)
+        pos = (f"least(greatest((n - 1) * {p}D, 0D), CAST(n - 1 AS DOUBLE))" if method == "linear" else
+               f"least(greatest(n * {p}D - 0.5D, 0D), CAST(n - 1 AS DOUBLE))")
+        if method not in ("linear", "np_half"):
+            raise ValueError("method must be 'linear' or 'np_half'")
+        pos_cols += [f"CAST(floor({pos}) AS BIGINT) AS _{name}_lo", f"CAST(ceil({pos}) AS BIGINT) AS _{name}_hi",
+                     f"{pos} - floor({pos}) AS _{name}_f"]
+    targets = groups.selectExpr("*", *pos_cols)
+    ranks = [f"_{q}_{e}" for q, _ in QUARTILES for e in ("lo", "hi")]
+    picked = (rows.join(targets.select(dim, *ranks), dim)
+              .where(f"_r IN ({', '.join(ranks)})")
               .groupBy(dim)
-              .agg(*[F.max(F.when(F.col("_r") == F.col(f"_{q}_{e}"), F.col("x"))).alias(f"_{q}_{e}v")
-                     for q, _ in QUARTILES for e in ("lo", "hi")]))
-    out = targets.join(picked, dim)
-    return out.select(dim, "n", "min", "max", *[
-        (F.col(f"_{q}_lov") + (F.col(f"_{q}_hiv") - F.col(f"_{q}_lov")) * F.col(f"_{q}_f")).alias(q)
-        for q, _ in QUARTILES])
+              .agg(*[F.expr(f"max(CASE WHEN _r = {t} THEN x END) AS {t}v") for t in ranks]))
+    return targets.join(picked, dim).selectExpr(
+        d, "n", "min", "max",
+        *[f"_{q}_lov + (_{q}_hiv - _{q}_lov) * _{q}_f AS {q}" for q, _ in QUARTILES])
 
 
 def _quartiles_approx(base: DataFrame, dim: str, accuracy: int) -> DataFrame:
