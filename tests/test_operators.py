@@ -208,3 +208,25 @@ def test_totals_properties(spark, rows):
     assert len(series) == (max(days) - min(days)).days + 1
     assert sum(r.spend for r in series) == pytest.approx(k.total_spend)
     assert op.filter_ads(df, date_range=None).count() == len(rows)
+
+
+def test_ads_view_answers_the_two_questions(spark):
+    df = frame(spark, [
+        dict(ad_name="a", link_clicks=5.0, impressions=100.0, spend=10.0, reporting_starts=D(2025, 1, 1)),
+        dict(ad_name="b", link_clicks=9.0, impressions=100.0, spend=20.0, reporting_starts=D(2025, 1, 1)),
+        dict(ad_name="b", link_clicks=1.0, impressions=100.0, spend=30.0, reporting_starts=D(2025, 1, 2)),
+        dict(ad_name="c", link_clicks=5.0, impressions=0.0, spend=1.0, reporting_starts=None),
+    ])
+    name = op.register_ads_view(df, "ads_test")
+    assert spark.sql(f"SELECT count(*) FROM {name}").first()[0] == 4
+    top = op.highest_ctr_ad(df).first()
+    assert (top.ad_name, top.ctr) == ("a", 5.0)          # tie at 5% -> first name
+    avg = op.average_spend_per_day(df).first()
+    assert (avg.total_spend, avg.days, avg.avg_spend_per_day) == (61.0, 2, 30.5)
+
+
+def test_describe_columns(spark):
+    df = frame(spark, [])
+    d = op.describe_columns(df).collect()
+    assert [r.name for r in d][:3] == ["reporting_starts", "reporting_ends", "ad_name"]
+    assert d[12].display_name == "Amount spent (USD)" and d[12].data_type == "double"
