@@ -150,6 +150,23 @@ def _with_fences(q: DataFrame) -> DataFrame:
                     (F.col("q3") + F.lit(1.5) * iqr).alias("upper_fence"))
 
 
+def _fences(df: DataFrame, dim: str, metric: str, method: str, exact: bool, accuracy: int,
+            partitions: int | None) -> DataFrame:
+    """Quartiles and fences per group, computed once.
+
+    The per-group table is used twice (fences for the whisker pass, and the
+    output), and the ranked rows behind it carry run-time ids that Spark
+    cannot reuse between the two, so it is checkpointed: written once to
+    the shared checkpoint folder, lineage cut. Its size is the number of
+    groups.
+    """
+    from adlens.session import shared_dir
+
+    q = _with_fences(quartiles(df, dim, metric, method, exact, accuracy, partitions))
+    shared_dir(df.sparkSession)  # make sure a checkpoint folder is set
+    return q.checkpoint(eager=True)
+
+
 def box_stats(df: DataFrame, dim: str = "ad_delivery", metric: str = "cpc_link",
               method: str = "linear", exact: bool = True, accuracy: int = 10000,
               partitions: int | None = None) -> DataFrame:
@@ -160,7 +177,7 @@ def box_stats(df: DataFrame, dim: str = "ad_delivery", metric: str = "cpc_link",
     ``method='np_half'`` at np+1/2, the box chart's default. Imputed zeros
     are values like any other.
     """
-    q = _with_fences(quartiles(df, dim, metric, method, exact, accuracy, partitions))
+    q = _fences(df, dim, metric, method, exact, accuracy, partitions)
     base = _base(df, dim, metric)
     whiskers = (base.join(q.select(dim, "lower_fence", "upper_fence"), dim)
                 .groupBy(dim)
@@ -179,7 +196,7 @@ def box_outliers(df: DataFrame, dim: str = "ad_delivery", metric: str = "cpc_lin
                  partitions: int | None = None) -> DataFrame:
     """The points drawn outside the whiskers: (dim, value) of every row
     beyond a fence."""
-    q = _with_fences(quartiles(df, dim, metric, method, exact, accuracy, partitions))
+    q = _fences(df, dim, metric, method, exact, accuracy, partitions)
     base = _base(df, dim, metric)
     return (base.join(q.select(dim, "lower_fence", "upper_fence"), dim)
             .where((F.col("x") < F.col("lower_fence")) | (F.col("x") > F.col("upper_fence")))
