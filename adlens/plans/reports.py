@@ -21,8 +21,10 @@ from adlens import operators as op
 from adlens.functions import fill_ranking, na_to_null, to_date_strict, to_number
 from adlens.functions.coerce import DATE_PATTERN, MAX_DATE, MIN_DATE, NUMBER_PATTERN
 from adlens.schema import AD_COLUMNS, MEASURES, NA_TOKENS
-from adlens.sources.adapter import ad_report
-from adlens.sources.exports import union_frames
+from adlens.session import shared_dir
+from adlens.sources.adapter import _snapshot_key, ad_report, is_complete
+from adlens.sources.exports import read_exports, union_frames
+from adlens.sources.sinks import write_csv
 
 # --- Fixed parameters of the registered queries (values of the test tables) --
 DATE_RANGE = ("1996-01-01", "1996-12-31")
@@ -274,6 +276,21 @@ def _union_exports(ads: DataFrame) -> DataFrame:
     return union_frames(frames).select(*AD_COLUMNS)
 
 
+# ---------------------------------------------------------------------------
+# ingest_roundtrip: the ad table written by Spark as CSV exports (display
+# headers, many files) and read back through the export reader
+
+
+def _ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = f"{shared_dir(spark)}/adlens_exports_{_snapshot_key(sf_dir)}"
+    csv_dir = f"{base}/csv"
+    if not is_complete(spark, csv_dir):
+        write_csv(ad_report(spark, sf_dir).drop("source_file"), csv_dir, single_file=False)
+    load = read_exports(spark, [csv_dir], stage_path=f"{base}/raw")
+    # file names of Spark's part files are not stable; everything else is
+    return load.table.drop("source_file")
+
+
 # ---------------------------------------------------------------------------
 # correlation SQL (generated for the 14 measures)
 
@@ -482,6 +499,8 @@ ORDER BY ctr DESC, ad_name LIMIT 1""")),
 FROM (SELECT reporting_starts, SUM(CAST(spend AS DECIMAL(24,6))) AS s FROM ad_report
       GROUP BY reporting_starts) AS d""")),
     Report("ingest_coerce", _ingest_coerce, INGEST_COERCE_SQL, from_tables=True),
+    Report("ingest_roundtrip", _ingest_roundtrip, _with("SELECT * EXCLUDE (source_file) FROM ad_report"),
+           from_tables=True),
 ]
 
 BY_NAME: dict[str, Report] = {r.name: r for r in REPORTS}
