@@ -286,7 +286,7 @@ def _ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     csv_dir = f"{base}/csv"
     if not is_complete(spark, csv_dir):
         write_csv(ad_report(spark, sf_dir).drop("source_file"), csv_dir, single_file=False)
-    load = read_exports(spark, [csv_dir], stage_path=f"{base}/raw")
+    load = read_exports(spark, [csv_dir], stage_path=f"{base}/raw_v2")
     # file names of Spark's part files are not stable; everything else is
     return load.table.drop("source_file")
 
