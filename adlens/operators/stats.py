@@ -97,25 +97,27 @@ def ranked_in_groups(base: DataFrame, dim: str, value: str = "x",
 
 
 def _quartiles_exact(base: DataFrame, dim: str, method: str, partitions: int | None) -> DataFrame:
+    if method not in ("linear", "np_half"):
+        raise ValueError("method must be 'linear' or 'np_half'")
     rows, runs = ranked_in_groups(base, dim, "x", partitions)
     d = _q(dim)
-    groups = runs.groupBy(dim).agg(F.expr("sum(_cnt) AS n"), F.expr("min(_lo) AS min"),
-                                   F.expr("max(_hi) AS max"))
     pos_cols = []
     for name, p in QUARTILES:
         pos = (f"least(greatest((n - 1) * {p}D, 0D), CAST(n - 1 AS DOUBLE))" if method == "linear" else
                f"least(greatest(n * {p}D - 0.5D, 0D), CAST(n - 1 AS DOUBLE))")
-        if method not in ("linear", "np_half"):
-            raise ValueError("method must be 'linear' or 'np_half'")
         pos_cols += [f"CAST(floor({pos}) AS BIGINT) AS _{name}_lo", f"CAST(ceil({pos}) AS BIGINT) AS _{name}_hi",
                      f"{pos} - floor({pos}) AS _{name}_f"]
-    targets = groups.selectExpr("*", *pos_cols)
     ranks = [f"_{q}_{e}" for q, _ in QUARTILES for e in ("lo", "hi")]
-    picked = (rows.join(targets.select(dim, *ranks), dim)
+    # every row carries its group's size, so the ranks interpolation needs
+    # are known row by row: no join of raw rows to group statistics
+    picked = (rows.selectExpr("*", *pos_cols)
               .where(f"_r IN ({', '.join(ranks)})")
               .groupBy(dim)
-              .agg(*[F.expr(f"max(CASE WHEN _r = {t} THEN x END) AS {t}v") for t in ranks]))
-    return targets.join(picked, dim).selectExpr(
+              .agg(*[F.expr(f"max(CASE WHEN _r = {t} THEN x END) AS {t}v") for t in ranks],
+                   *[F.expr(f"first(_{q}_f) AS _{q}_f") for q, _ in QUARTILES]))
+    groups = runs.groupBy(dim).agg(F.expr("sum(_cnt) AS n"), F.expr("min(_lo) AS min"),
+                                   F.expr("max(_hi) AS max"))
+    return groups.join(picked, dim).selectExpr(
         d, "n", "min", "max",
         *[f"_{q}_lov + (_{q}_hiv - _{q}_lov) * _{q}_f AS {q}" for q, _ in QUARTILES])
 
@@ -164,7 +166,18 @@ def _fences(df: DataFrame, dim: str, metric: str, method: str, exact: bool, accu
 
     q = _with_fences(quartiles(df, dim, metric, method, exact, accuracy, partitions))
     shared_dir(df.sparkSession)  # make sure a checkpoint folder is set
-    return q.checkpoint(eager=True)
+    return bounded_broadcast(q.checkpoint(eager=True))
+
+
+# groups per broadcast fence table (about 100 bytes a row)
+MAX_BROADCAST_GROUPS = 1_000_000
+
+
+def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_GROUPS) -> DataFrame:
+    """``small`` marked for broadcast when its row count is within
+    ``max_rows`` (counted on the already materialised table); beyond that it
+    is joined normally, and AQE's skew-join splitting handles hot keys."""
+    return F.broadcast(small) if small.count() <= max_rows else small
 
 
 def box_stats(df: DataFrame, dim: str = "ad_delivery", metric: str = "cpc_link",
