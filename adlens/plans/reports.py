@@ -219,10 +219,10 @@ def _ingest_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return raw.select(
         "l_orderkey", "l_linenumber",
-        to_number(na_to_null(F.col("results_text"))).alias("results"),
-        to_number(na_to_null(F.col("spend_text"))).alias("spend"),
-        to_date_strict(na_to_null(F.col("date_text"))).alias("reporting_starts"),
-        fill_ranking(na_to_null(F.col("ranking_text"))).alias("quality_ranking"),
+        to_number(na_to_null("results_text")).alias("results"),
+        to_number(na_to_null("spend_text")).alias("spend"),
+        to_date_strict(na_to_null("date_text")).alias("reporting_starts"),
+        fill_ranking(na_to_null("ranking_text")).alias("quality_ranking"),
     )
 
 
