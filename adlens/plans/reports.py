@@ -21,8 +21,8 @@ from adlens import operators as op
 from adlens.functions import fill_ranking, na_to_null, to_date_strict, to_number
 from adlens.functions.coerce import DATE_PATTERN, MAX_DATE, MIN_DATE, NUMBER_PATTERN
 from adlens.schema import AD_COLUMNS, MEASURES, NA_TOKENS
-from adlens.session import shared_dir
-from adlens.sources.adapter import _snapshot_key, ad_report, is_complete
+from adlens.session import is_complete, shared_dir
+from adlens.sources.adapter import _snapshot_key, ad_report
 from adlens.sources.exports import read_exports, union_frames
 from adlens.sources.sinks import write_csv
 

@@ -59,3 +59,22 @@ def shared_dir(spark: SparkSession) -> str:
     d = tempfile.mkdtemp(prefix="adlens-")
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """True when a finished write left its ``_SUCCESS`` marker at ``path``.
+
+    Asks the session's Hadoop file system (any scheme Spark writes to, no
+    job, no listing); a session without a JVM gateway probes by reading.
+    """
+    marker = f"{path.rstrip('/')}/_SUCCESS"
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(marker)
+        return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+    except Exception:  # no gateway (remote session)
+        try:
+            spark.read.text(marker)
+            return True
+        except Exception:  # PATH_NOT_FOUND
+            return False

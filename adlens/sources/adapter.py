@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlens.schema import AD_COLUMNS
-from adlens.session import shared_dir
+from adlens.session import is_complete, shared_dir
 
 _TABLES = ("lineitem", "orders", "part")
 
@@ -122,16 +122,6 @@ def stage(df: DataFrame, path: str, sort_by: str = "reporting_starts",
     return spark.read.parquet(path)
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """True when a finished write left its ``_SUCCESS`` marker at ``path``
-    (works on any Hadoop-compatible file system)."""
-    try:
-        spark.read.text(f"{path}/_SUCCESS")
-        return True
-    except Exception:  # PATH_NOT_FOUND
-        return False
-
-
 _STAGED: dict[tuple[int, str], DataFrame] = {}
 
 
