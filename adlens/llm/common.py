@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.session import shared_dir
+from adlens.session import shared_dir, ship_package
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -40,5 +40,8 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
 
     ``narrow(df, doc_id="doc_id", text="text")``: extra columns, whatever they
     are called, never reach the operator, so they cannot clash with its own.
+    Every operator starts here, so this also makes sure that workers have the
+    package.
     """
+    ship_package(df.sparkSession)
     return df.select(*[F.col(f"`{src}`").alias(dst) for dst, src in columns.items()])

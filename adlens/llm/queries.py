@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import packing
+from adlens.llm import packing, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked credential parts of every document."""
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op5_secrets": op5_secrets,
     "op9_packing": op9_packing,
 }
 
