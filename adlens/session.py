@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -78,3 +79,26 @@ def is_complete(spark: SparkSession, path: str) -> bool:
             return True
         except Exception:  # PATH_NOT_FOUND
             return False
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the Python workers (once a context).
+
+    Functions that run in tasks are pickled by module name, so workers must be
+    able to import the package even where it is not installed and whatever the
+    driver's working directory is. A small zip of the sources goes through
+    Spark's own file distribution.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_adlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="adlens-src-"), "adlens_src.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("adlens", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._adlens_shipped = True
