@@ -43,29 +43,38 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def with_hashes(df: DataFrame) -> DataFrame:
-    """Replace ``text`` by ``hashes``, the hashes of its shingles (a word is hashed once)."""
-    wh, n = F.col("wh"), F.size("wh")
-    many = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: F.xxhash64(
-        *[F.get(wh, i + j) for j in range(WIDTH)]))
-    hashes = F.when(n >= WIDTH, many).when(n > 0, F.array(F.xxhash64(wh))).otherwise(
-        F.array().cast("array<bigint>"))
-    return df.withColumn("wh", F.transform(words(F.col("text")), lambda x: F.xxhash64(x))).withColumn(
-        "hashes", hashes).drop("text", "wh")
-
-
-def gram_texts(words_col: str) -> Column:
-    """The shingles of a column of words as text."""
-    w = F.col(words_col)
-    n = F.size(w)
-    many = F.transform(F.sequence(F.lit(1), n - WIDTH + 1), lambda i: F.array_join(F.slice(w, i, WIDTH), " "))
-    return F.when(n >= WIDTH, many).when(n > 0, F.array(F.array_join(w, " "))).otherwise(
-        F.array().cast("array<string>"))
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def gram_hashes(text: Column) -> Column:
+    """Hashes of the shingles of a text (a word is hashed once)."""
+    def of(wh: Column) -> Column:
+        n = F.size(wh)
+        many = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: F.xxhash64(
+            *[F.get(wh, i + j) for j in range(WIDTH)]))
+        return F.when(n >= WIDTH, many).when(n > 0, F.array(F.xxhash64(wh)))
+    return _let(F.transform(words(text), lambda x: F.xxhash64(x)), of)
+
+
+def gram_texts(text: Column) -> Column:
+    """The shingles of a text as text."""
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        many = F.transform(F.sequence(F.lit(1), n - WIDTH + 1), lambda i: F.array_join(F.slice(w, i, WIDTH), " "))
+        return F.when(n >= WIDTH, many).when(n > 0, F.array(F.array_join(w, " ")))
+    return _let(words(text), of)
+
+
+def _exploded(df: DataFrame, id_col: str, grams: Column, name: str) -> DataFrame:
+    # the outer form: for the plain one Spark adds a filter that computes the array a second time
+    return df.select(id_col, F.explode_outer(grams).alias(name)).where(F.col(name).isNotNull())
 
 
 def sketches(items: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(item_id, h, need): the ``k`` smallest hashes of each item and how many of them a match holds at least."""
-    sets = with_hashes(items).select("item_id", F.explode("hashes").alias("h")).groupBy("item_id").agg(
+    sets = _exploded(items, "item_id", gram_hashes(F.col("text")), "h").groupBy("item_id").agg(
         F.sort_array(F.collect_set("h")).alias("s"))
     q = F.size("s")
     at_least = lambda n: F.ceil(n * F.lit(threshold) / F.lit(100)).cast("int")
@@ -83,7 +92,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     docs = narrow(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL")
     items = narrow(items, item_id=item_id_col, text=item_text_col).where("item_id IS NOT NULL")
     sketch = staged(sketches(items, threshold), "decon_sketch")
-    hits = with_hashes(docs).select("doc_id", F.explode("hashes").alias("h")).join(sketch, "h")
+    hits = _exploded(docs, "doc_id", gram_hashes(F.col("text")), "h").join(sketch, "h")
     pairs = staged(hits.groupBy("doc_id", "item_id", "need").agg(F.countDistinct("h").alias("n"))
                    .where("n >= need").select("doc_id", "item_id"), "decon_pairs")
     return verify(docs, items, pairs, threshold)
@@ -91,12 +100,11 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 def verify(docs: DataFrame, items: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs whose exact containment reaches the threshold."""
-    shingles = items.withColumn("w", words(F.col("text"))).select(
-        "item_id", F.explode(gram_texts("w")).alias("s")).distinct()
+    shingles = _exploded(items, "item_id", gram_texts(F.col("text")), "s").distinct()
     sizes = shingles.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
     wanted = shingles.join(sizes, "item_id")
     near = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = near.withColumn("w", words(F.col("text"))).select("doc_id", F.explode(gram_texts("w")).alias("s"))
+    texts = _exploded(near, "doc_id", gram_texts(F.col("text")), "s")
     found = (texts.join(wanted, "s").join(pairs, ["doc_id", "item_id"], "left_semi")
              .groupBy("doc_id", "item_id", "n_item").agg(F.countDistinct("s").alias("n_found")))
     return found.where(F.col("n_found") * 100 >= F.col("n_item") * threshold).select(

@@ -50,10 +50,11 @@ def with_chunks(df: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc_id, k, h) of every later copy of a repeated multi-line chunk. ``docs``: doc_id, text."""
     chunked = with_chunks(docs.where("doc_id IS NOT NULL"), divisor)
-    occurrences = chunked.select("doc_id", "lines", F.explode(F.filter(
-        "chunks", lambda c: c["n"] >= min_lines)).alias("c"))
-    counts = chunked.select(F.explode(F.filter("chunks", lambda c: c["n"] >= min_lines)).alias("c")).groupBy(
-        F.col("c.h").alias("h")).count()
+    # explode_outer: for the plain form Spark adds a filter that chunks each text a second time
+    several = F.filter("chunks", lambda c: c["n"] >= min_lines)
+    occurrences = chunked.select("doc_id", "lines", F.explode_outer(several).alias("c")).where("c IS NOT NULL")
+    counts = (chunked.select(F.explode_outer(F.transform(several, lambda c: c["h"])).alias("h"))
+              .where("h IS NOT NULL").groupBy("h").count())
     live = staged(counts.where("count > 1").select("h"), "line_live")
     bytes_of = F.array_join(F.slice("lines", F.col("c.at") + 1, F.col("c.n")), "\n")
     found = staged(occurrences.select("doc_id", F.col("c.k").alias("k"), F.col("c.h").alias("h"), bytes_of.alias("body"))
