@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import decontam, linededup, packing, secrets
+from adlens.llm import decontam, linededup, packing, secrets, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "line_dedup.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector among all others."""
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record reads back from the written archives."""
+    manifest = warc.write_archive(_table(spark, sf_dir, "pages"))
+    return warc.read_archive(spark, manifest, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op6_warc": op6_warc,
+    "op8_topk": op8_topk,
     "op10_line_dedup": op10_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op5_secrets": op5_secrets,
@@ -43,4 +57,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op7_decontamination": decontam.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
+    "op8_topk": topk.ORACLE,
+    "op6_warc": warc.ORACLE,
 }
