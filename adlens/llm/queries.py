@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import decontam, linededup, packing, secrets, topk, warc
+from adlens.llm import decontam, jaccard, linededup, packing, secrets, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity class of every document."""
+    return jaccard.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
+    "op2_jaccard": op2_jaccard,
     "op6_warc": op6_warc,
     "op8_topk": op8_topk,
     "op10_line_dedup": op10_line_dedup,
@@ -58,5 +64,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_decontamination": decontam.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
     "op8_topk": topk.ORACLE,
+    "op2_jaccard": jaccard.ORACLE,
     "op6_warc": warc.ORACLE,
 }
