@@ -9,6 +9,7 @@ in machine-local folders.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,3 +46,13 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """
     ship_package(df.sparkSession)
     return df.select(*[F.col(f"`{src}`").alias(dst) for dst, src in columns.items()])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written.
+
+    They go when the driver collects its garbage, which a driver with little
+    to do may not do for hours; this asks for it between the steps of a job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

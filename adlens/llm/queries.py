@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import decontam, jaccard, linededup, packing, secrets, topk, warc
+from adlens.llm import decontam, jaccard, linededup, packing, secrets, suffix, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,14 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What exact substring dedup leaves of every document (all copies removed)."""
+    return suffix.dedup(_table(spark, sf_dir, "documents"), keep="none").select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op3_suffix": op3_suffix,
     "op2_jaccard": op2_jaccard,
     "op6_warc": op6_warc,
     "op8_topk": op8_topk,
