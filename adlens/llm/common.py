@@ -1,6 +1,10 @@
 """Helpers shared by the corpus operators: staged tables in the shared folder
 and a column contract check.
 
+Joins that move whole texts carry a ``merge`` hint: a plan that broadcasts the
+other side while it is small and shuffles once it is not would make the cost of
+a step jump between sizes; with the hint it grows in proportion.
+
 Lineage is cut with *written tables* in the folder that ``spark.checkpoint.dir``
 names (see :func:`adlens.session.shared_dir`), so a lost executor costs at most
 the tasks since the last written table; nothing is kept in executor memory or

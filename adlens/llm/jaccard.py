@@ -221,7 +221,7 @@ def classes_of(docs: DataFrame, threshold: int = THRESHOLD, extra: int = EXTRA)
     least = F.expr(f"1 + ((n * {t} + 99) div 100) * {extra} div 100")
     near = staged(reps.join(low, F.col("d1") == F.col("key")).where(F.col("live") >= least)
                   .select(F.col("rep").alias("doc_id"), "d1").distinct(), "jac_near")
-    some = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    some = docs.join(near.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
     sets = staged(some.mapInArrow(_sets, "rep long, s array<long>").join(
         reps.select("rep", "n"), "rep").where("size(s) = n").drop("n").dropDuplicates(["rep"]), "jac_sets")
     close = _live(sets.mapInArrow(_all_shingles, _SENT_SQL))

@@ -58,7 +58,7 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
     live = staged(counts.where("count > 1").select("h"), "line_live")
     bytes_of = F.array_join(F.slice("lines", F.col("c.at") + 1, F.col("c.n")), "\n")
     found = staged(occurrences.select("doc_id", F.col("c.k").alias("k"), F.col("c.h").alias("h"), bytes_of.alias("body"))
-                   .join(live, "h", "left_semi"), "line_candidates")
+                   .join(live.hint("merge"), "h", "left_semi"), "line_candidates")
     # grouping compares bytes; the digest only names the group afterwards
     groups = found.groupBy("h", "body").agg(F.count(F.lit(1)).alias("copies"),
                                             F.min(F.struct("doc_id", "k")).alias("first"))
@@ -79,7 +79,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divis
         F.collect_set(F.struct("k", "h")).alias("gone")), "line_gone")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), whole)
-    rows = with_chunks(rows.join(gone, "doc_id", "left"), divisor)
+    rows = with_chunks(rows.join(gone.hint("merge"), "doc_id", "left"), divisor)
     is_gone = lambda c: F.coalesce(F.array_contains("gone", F.struct(c["k"], c["h"])), F.lit(False))
     rows = rows.withColumn("cut", F.filter("chunks", is_gone))
     kept = F.flatten(F.transform(F.filter("chunks", lambda c: ~is_gone(c)),

@@ -264,7 +264,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str =
     wanted = (groups.join(kinds, "v", "left").where("mixed OR inner")
               .select("first.doc", "first.tkey", F.struct("v", "first.s0", "cnt", "m").alias("w"))
               .groupBy("doc", "tkey").agg(F.collect_list("w").alias("wanted")))
-    texts = docs.select("doc", "tkey", "text").join(staged(wanted, "suffix_wanted"), ["doc", "tkey"])
+    texts = docs.select("doc", "tkey", "text").join(staged(wanted, "suffix_wanted").hint("merge"), ["doc", "tkey"])
     bodies = staged(texts.mapInArrow(_cut_bodies(length), _BODY_SQL), "suffix_bodies")
     release(spark)
     # equal rows would bring a segment's bytes twice
@@ -311,5 +311,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     spans = staged(covered(rows.where("text IS NOT NULL"), length, gram, keep).groupBy("doc", "tkey").agg(
         F.collect_set(F.struct("a", "b")).alias("spans")), "suffix_spans")
     release(docs.sparkSession)
-    return rows.join(spans, ["doc", "tkey"], "left").select("doc_id", "text", "spans").mapInArrow(
+    return rows.join(spans.hint("merge"), ["doc", "tkey"], "left").select("doc_id", "text", "spans").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")

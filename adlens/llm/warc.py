@@ -131,7 +131,7 @@ def write_archive(pages: DataFrame, out_dir: str | None = None, id_col: str = "p
     revisits = staged(facts.join(kept, ["digest", "n"]).where("page_id < refers_to")
                       .select("page_id", F.col("digest").alias("d"), "refers_to").distinct(), "warc_revisits")
     dictionary = train_dictionary(pages, date)
-    rows = (pages.join(revisits, (pages["page_id"] == revisits["page_id"]) & (pages["digest"] == revisits["d"]), "left")
+    rows = (pages.join(revisits.hint("merge"), (pages["page_id"] == revisits["page_id"]) & (pages["digest"] == revisits["d"]), "left")
             .select(pages["page_id"], "url", F.when(F.col("refers_to").isNull(), payload).alias("payload"),
                     "n", "digest", "refers_to"))
     return staged(rows.mapInArrow(_writer(out_dir, dictionary, date, roll_bytes), MANIFEST), "warc_manifest")
