@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import decontam, jaccard, linededup, packing, secrets, suffix, topk, warc
+from adlens.llm import decontam, jaccard, linededup, packing, quality, secrets, suffix, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,14 @@ def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of every document."""
+    done = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "lang", "kn.*")
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_suffix": op3_suffix,
     "op2_jaccard": op2_jaccard,
     "op6_warc": op6_warc,
