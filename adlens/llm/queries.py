@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import decontam, jaccard, linededup, packing, quality, secrets, suffix, topk, warc
+from adlens.llm import decontam, jaccard, linededup, packing, quality, secrets, suffix, surrogate, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "lang", "kn.*")
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and how much of each kind it held."""
+    return surrogate.anonymise(_table(spark, sf_dir, "documents")).select("doc_id", "text", "pii.*")
+
+
 QUERIES = {
+    "op4_surrogates": op4_surrogates,
     "op1_quality": op1_quality,
     "op3_suffix": op3_suffix,
     "op2_jaccard": op2_jaccard,
