@@ -115,7 +115,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options)
     """The rows of ``docs`` that hold no test item (all columns; rows with a null id stay)."""
     hit = staged(search(docs, items, id_col, **options).select(
         F.col("doc_id").alias("__hit_id")).distinct(), "decon_hits")
-    return docs.join(hit, F.col(f"`{id_col}`") == F.col("__hit_id"), "left_anti")
+    return docs.join(hit.hint("merge"), F.col(f"`{id_col}`") == F.col("__hit_id"), "left_anti")
 
 
 _SHINGLES = """

@@ -285,7 +285,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` whose doc_id is the least of its class (and those with a null doc_id)."""
     gone = staged(join(docs, id_col, text_col, **options).where("component_id <> doc_id").select(
         F.col("doc_id").alias("__gone_id")).distinct(), "jac_gone")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone_id"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("__gone_id"), "left_anti")
 
 
 ORACLE_SHINGLES = """
