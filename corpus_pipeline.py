@@ -1,22 +1,57 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage is one operator of ``adlens.llm`` with its production parameters. It
+takes all rows that the stage before it kept and its decisions take effect; all
+but the last return the columns of the documents table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from adlens.llm import packing
+from adlens.llm import decontam, jaccard, linededup, packing, quality
 from adlens.llm.common import staged
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences."""
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps; it is trained on those among them that the labels trust."""
+    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("kn.keep").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, later copies of repeated line chunks cut out (n_chars follows the text)."""
+    cut = linededup.dedup(docs)
+    changed = F.col("line_dedup.n_removed_chunks") > 0
+    return cut.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(
+        F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each similarity class: the one with the least doc_id."""
+    return jaccard.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences: a row for each piece."""
     return packing.pack(docs)
 
 
 STAGES = [
-    ("packing", pack_stage),
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
+#: The classifier and the tokenizer are beyond SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -24,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents table; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline_{name}".replace(" ", "_"))
+        docs = staged(stage(spark, docs, sf_dir), "pipeline_" + name.replace(" ", "_").replace("-", "_"))
     return docs
