@@ -1,0 +1,70 @@
+import hashlib
+
+import pytest
+
+from adlens.llm import warc
+
+SCHEMA = "page_id long, url string, html string, digest string, n long, refers_to string, payload string"
+BIG = "<p>" + "é common page " * 100
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1, "x", "x") for r in rows], SCHEMA)
+
+
+ROWS = [(1, "http://a.example.com/1", BIG), (2, None, BIG), (9, "http://a.example.com/\r\nX: 1", BIG), (3, "u", "small"),
+        (4, "u", "small"), (5, "u", None), (6, "u", ""), (None, "u", BIG), (7, "ü", "WARC/1.1\r\n\r\n" * 200),
+        (8, "u", "x" * 3_000_000), (10, "u", "y" * 1000), (11, "u", "y" * 1000), (11, "u", "y" * 1000)]
+
+
+def test_round_trip(spark):
+    got = warc.read_archive(spark, warc.write_archive(pages(spark, ROWS), roll_bytes=2000)).collect()
+    assert len(got) == len(ROWS)
+    last = {}
+    for page_id, _, html in ROWS:
+        if html and len(html.encode()) >= 1000 and page_id is not None:
+            last[html] = max(page_id, last.get(html, 0))
+    want = sorted((page_id or -1, len((html or "").encode()), hashlib.sha1((html or "").encode()).hexdigest(),
+                   last[html] if page_id is not None and html in last and page_id < last[html] else None)
+                  for page_id, _, html in ROWS)
+    assert sorted((r.page_id or -1, r.payload_bytes, r.payload_digest, r.refers_to) for r in got) == want
+    for r in got:
+        assert r.record_type == ("response" if r.refers_to is None else "revisit")
+        if r.refers_to is None:
+            assert len(r.payload) == r.payload_bytes and hashlib.sha1(bytes(r.payload)).hexdigest() == r.payload_digest
+        else:
+            assert r.payload is None
+
+
+def test_files_lead_with_their_dictionary(spark):
+    import struct
+
+    import zstandard
+    manifest = warc.write_archive(pages(spark, ROWS)).collect()
+    assert sum(r.records for r in manifest) == len(ROWS)
+    for r in manifest:
+        data = open(r.path.removeprefix("file:"), "rb").read()
+        assert len(data) == r.bytes
+        magic, size = struct.unpack("<II", data[:8])
+        assert magic == 0x184D2A5D and size > 0
+        # frames stand alone: the second can be read without the first
+        d = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8: 8 + size]))
+        one = d.decompressobj()
+        assert one.decompress(data[8 + size:]).startswith(b"WARC/1.1\r\n")
+        if r.records > 1:
+            assert d.decompressobj().decompress(one.unused_data).startswith(b"WARC/1.1\r\n")
+
+
+def test_damage_is_noticed(spark):
+    manifest = warc.write_archive(pages(spark, ROWS[:1]))
+    path = manifest.first().path.removeprefix("file:")
+    data = bytearray(open(path, "rb").read())
+    data[-9] ^= 255
+    open(path, "wb").write(data)
+    with pytest.raises(Exception):
+        warc.read_archive(spark, manifest).collect()
+
+
+def test_empty(spark):
+    manifest = warc.write_archive(pages(spark, []))
+    assert manifest.count() == 0 and warc.read_archive(spark, manifest).count() == 0
