@@ -68,10 +68,21 @@ def _record(page_id: int | None, url: str | None, payload: bytes, size: int, dig
 
 
 def train_dictionary(pages: DataFrame, date: str) -> bytes:
-    """A dictionary from a bounded sample of records (the start of long ones)."""
+    """A dictionary from a bounded sample of records (the start of long ones).
+
+    The sample is the records of smallest id hash; a first pass over the hashes
+    alone finds how small, so the driver sees a few thousand numbers and
+    ``SAMPLE_RECORDS`` records, however many pages there are.
+    """
     import zstandard
-    rows = (pages.orderBy(F.xxhash64("page_id", "digest")).limit(SAMPLE_RECORDS)
+    scale = 1 << 40
+    pages = pages.withColumn("rank", F.pmod(F.xxhash64("page_id", "digest"), F.lit(scale)))
+    share = min(1.0, 4 * SAMPLE_RECORDS / max(1, pages.select("page_id").count()))
+    least = (pages.where(F.col("rank") < int(share * scale)).select("rank").distinct()
+             .orderBy("rank").limit(SAMPLE_RECORDS).agg(F.max("rank")).first()[0])
+    rows = (pages.where(F.col("rank") <= F.lit(-1 if least is None else least)).limit(SAMPLE_RECORDS)
             .select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html"), "digest").collect())
+    rows.sort(key=lambda r: (r.digest, r.page_id or 0))
     samples = [_record(r.page_id, r.url, p := (r.html or "").encode(), len(p), r.digest, None, date) for r in rows]
     if not samples:
         return b""
@@ -96,7 +107,7 @@ def _writer(out_dir: str, dictionary: bytes, date: str, roll: int):
                         *(c.to_pylist() for c in batch.slice(at, 64).columns)):
                     if sink is None:
                         name = f"pages-{uuid.uuid4().hex}.warc.zst"
-                        sink, path, records = files.open_output_stream(f"{base}/{name}"), f"{out_dir}/{name}", 0
+                        sink, path, records = files.open_output_stream(f"{base}/{name}", compression=None), f"{out_dir}/{name}", 0
                         size = sink.write(struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary)
                     size += sink.write(packer.compress(_record(page_id, url, payload or b"", n, digest, refers_to, date)))
                     records += 1
@@ -156,7 +167,7 @@ def read_file(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     import zstandard
     from pyarrow import fs
     files, name = fs.FileSystem.from_uri(path)
-    with files.open_input_stream(name) as source:
+    with files.open_input_stream(name, compression=None) as source:
         magic, size = struct.unpack("<II", source.read(8))
         if magic != DICT_MAGIC:
             raise ValueError(f"no dictionary frame: {path}")
