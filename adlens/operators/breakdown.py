@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlens.functions import ratio_signed_inf
-from adlens.operators.kpis import MONEY, money_sum
+from adlens.operators.kpis import money_exact, money_joined, money_rest, money_sum
 from adlens.operators.stats import global_row_number
+from adlens.session import staged_table
 
 BREAKDOWN_DIMS = ("ad_name", "ad_delivery")
 
@@ -50,13 +51,13 @@ def spend_share(df: DataFrame, dim: str = "ad_delivery") -> DataFrame:
     total is 0). The total is a scalar subquery over the aggregated groups,
     evaluated once and inlined as a value (no single-task window)."""
     agg = (df.where(F.col(dim).isNotNull()).groupBy(dim)
-           .agg(F.sum(F.col("spend").cast(MONEY)).alias("_spend")))
-    tot = agg.agg(F.sum("_spend")).scalar()
+           .agg(F.sum(money_exact(F.col("spend"))).alias("_exact"), F.sum(money_rest(F.col("spend"))).alias("_rest")))
+    tot = agg.agg(money_joined(F.sum("_exact"), F.sum("_rest"))).scalar()
+    spend = money_joined(F.col("_exact"), F.col("_rest"))
     return agg.select(
         dim,
-        F.col("_spend").cast("double").alias("spend"),
-        F.when(tot != 0, F.col("_spend").cast("double") / tot.cast("double"))
-        .otherwise(F.lit(0.0)).alias("share"),
+        spend.alias("spend"),
+        F.when(tot != 0, spend / tot).otherwise(F.lit(0.0)).alias("share"),
     ).orderBy(dim)
 
 
@@ -66,8 +67,10 @@ def rank_ads(df: DataFrame, exclude_zero_results: bool = False) -> DataFrame:
 
     Ads without results have cost per result 0 after coercion and therefore
     rank first, as in the reference; ``exclude_zero_results`` drops them.
-    The rank is numbered over the aggregated ads by a distributed sort
-    (no single-task window), never over raw rows.
+    The rank is numbered over the aggregated ads by a distributed sort (no
+    single-task window), never over raw rows. The aggregate is written to the
+    shared folder first: one pass over the raw rows, and the numbering's two
+    uses of it see the same mean to the last bit.
     """
     agg = (df.where(F.col("ad_name").isNotNull()).groupBy("ad_name")
            .agg(F.avg("cost_per_result").alias("cost_per_result"),
@@ -77,4 +80,4 @@ def rank_ads(df: DataFrame, exclude_zero_results: bool = False) -> DataFrame:
     if exclude_zero_results:
         agg = agg.where(F.col("results") > 0)
     order = [F.col("cost_per_result").asc_nulls_last(), F.col("ad_name")]
-    return global_row_number(agg, order, "rank").orderBy("rank")
+    return global_row_number(staged_table(agg, "rank_ads"), order, "rank").orderBy("rank")

@@ -50,13 +50,13 @@ def _date_lit(v) -> Column:
 def resolve_campaign(columns: Sequence[str]) -> str | None:
     """the campaign column of a table, by priority.
 
-    Works on display headers (``Campaign name`` > ``Ad set name`` >
-    ``Ad set`` > ``Campaign``) and on the canonical table (``campaign``).
+    The canonical table has chosen already (``campaign``; other campaign
+    headers are extras there); a table of display headers is searched for
+    ``Campaign name`` > ``Ad set name`` > ``Ad set`` > ``Campaign``.
     """
-    for c in CAMPAIGN_HEADERS:
-        if c in columns:
-            return c
-    return "campaign" if "campaign" in columns else None
+    if "campaign" in columns:
+        return "campaign"
+    return next((c for c in CAMPAIGN_HEADERS if c in columns), None)
 
 
 def _in(c: str, values: ListArg) -> Column | None:
@@ -104,18 +104,29 @@ def filter_ads(df: DataFrame, date_range=ALL_DATES, source_files: ListArg = None
 
     Python lists become ``IN`` predicates (Catalyst turns long ones into a
     hash ``InSet`` and pushes them into the scan). A DataFrame of values is
-    applied as a ``left_semi`` join on that column instead, for lists too
-    large to ship in the plan; the join strategy is chosen by AQE from the
-    measured size of the value table.
+    applied as a join with its distinct values instead, for lists too large
+    to ship in the plan; the join strategy is chosen by AQE from the measured
+    size of the value table. An empty list or value table means no filter.
     """
     pred = filter_predicate(df, date_range, source_files, ads, campaigns)
     out = df.where(pred) if pred is not None else df
-    camp = resolve_campaign(df.columns)
-    for c, v in (("source_file", source_files), ("ad_name", ads), (camp, campaigns)):
+    marked, listed = _marked(out, source_files, ads, campaigns)
+    return marked.where(listed).select(*[F.col(f"`{c}`") for c in df.columns]) if listed is not None else out
+
+
+def _marked(df: DataFrame, source_files: ListArg, ads: ListArg, campaigns: ListArg) -> tuple[DataFrame, Column | None]:
+    """``df`` joined with the value tables among the lists, and whether a row
+    is in all of them (null without value tables; an empty one holds for all)."""
+    listed = None
+    for i, (c, v) in enumerate((("source_file", source_files), ("ad_name", ads),
+                                (resolve_campaign(df.columns), campaigns))):
         if c is not None and isinstance(v, DataFrame):
-            vals = v.select(F.col(v.columns[0]).alias(c)).where(F.col(c).isNotNull()).distinct()
-            out = out.join(vals, on=c, how="left_semi")
-    return out
+            vals = v.select(F.col(v.columns[0]).alias(f"_value{i}")).where(F.col(f"_value{i}").isNotNull()).distinct()
+            empty = vals.agg(F.count(F.lit(1)) == 0).scalar()
+            df = df.join(vals, F.col(f"`{c}`") == F.col(f"_value{i}"), "left")
+            here = empty | F.col(f"_value{i}").isNotNull()
+            listed = here if listed is None else listed & here
+    return df, listed
 
 
 def options(df: DataFrame, column: str) -> DataFrame:
@@ -124,12 +135,15 @@ def options(df: DataFrame, column: str) -> DataFrame:
             .orderBy(column))
 
 
-def filter_summary(df: DataFrame, date_range=ALL_DATES, source_files: Sequence[str] | None = None,
-                   ads: Sequence[str] | None = None, campaigns: Sequence[str] | None = None) -> DataFrame:
-    """F8: one row (kept_rows, total_rows) from a single pass over the base."""
+def filter_summary(df: DataFrame, date_range=ALL_DATES, source_files: ListArg = None,
+                   ads: ListArg = None, campaigns: ListArg = None) -> DataFrame:
+    """F8: one row (kept_rows, total_rows) from a single pass over the base;
+    the lists are those of :func:`filter_ads`, value tables included."""
     pred = filter_predicate(df, date_range, source_files, ads, campaigns)
-    kept = F.count_if(pred) if pred is not None else F.count(F.lit(1))
-    return df.agg(kept.alias("kept_rows"), F.count(F.lit(1)).alias("total_rows"))
+    marked, listed = _marked(df, source_files, ads, campaigns)
+    both = [p for p in (pred, listed) if p is not None]
+    kept = F.count_if(both[0] & both[-1]) if both else F.count(F.lit(1))
+    return marked.agg(kept.alias("kept_rows"), F.count(F.lit(1)).alias("total_rows"))
 
 
 # the deterministic preview order: provenance and dates first, then the rest

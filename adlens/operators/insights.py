@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlens.functions import iso_date, money, money_plain, percent_plain, ratio_text_or_na, whole
-from adlens.operators.kpis import MONEY
+from adlens.operators.filters import preview
+from adlens.operators.kpis import money_exact, money_joined, money_rest
 
 ADS_VIEW = "ads"
 
@@ -20,7 +21,8 @@ def _per_ad(df: DataFrame) -> DataFrame:
     cover every row): mean cost per result and the partial totals."""
     return df.groupBy("ad_name").agg(
         F.avg("cost_per_result").alias("_cpr"),
-        F.sum(F.col("spend").cast(MONEY)).alias("_spend"),
+        F.sum(money_exact(F.col("spend"))).alias("_spend"),
+        F.sum(money_rest(F.col("spend"))).alias("_spend_rest"),
         F.sum("impressions").alias("_impr"),
         F.sum("link_clicks").alias("_clicks"),
         F.sum("results").alias("_results"),
@@ -51,7 +53,7 @@ def insight_context(df: DataFrame) -> DataFrame:
     per_ad = _per_ad(df)
     t = per_ad.agg(
         F.min("_start").alias("_start"), F.max("_end").alias("_end"),
-        F.coalesce(F.sum("_spend").cast("double"), F.lit(0.0)).alias("_sp"),
+        F.coalesce(money_joined(F.sum("_spend"), F.sum("_spend_rest")), F.lit(0.0)).alias("_sp"),
         F.coalesce(F.sum("_impr"), F.lit(0.0)).alias("_im"),
         F.coalesce(F.sum("_clicks"), F.lit(0.0)).alias("_lc"),
         F.coalesce(F.sum("_results"), F.lit(0.0)).alias("_rs"),
@@ -72,6 +74,11 @@ def insight_context(df: DataFrame) -> DataFrame:
     )
 
 
+def insight_preview(df: DataFrame) -> DataFrame:
+    """The five rows shown beside the context record, in the preview's total order."""
+    return preview(df, 5)
+
+
 def register_ads_view(df: DataFrame, name: str = ADS_VIEW) -> str:
     """Expose the (filtered) table to SQL questions as a temp view."""
     df.createOrReplaceTempView(name)
@@ -96,12 +103,13 @@ def average_spend_per_day(df: DataFrame) -> DataFrame:
     """A20 "What was the average spend per day?": total spend / number of
     distinct observed start days (two-level aggregate, no distinct expand).
     Spend on rows without a start day counts in the total."""
-    per_day = df.groupBy("reporting_starts").agg(F.sum(F.col("spend").cast(MONEY)).alias("_s"))
-    t = per_day.agg(F.sum("_s").alias("_total"), F.count("reporting_starts").alias("days"))
+    per_day = df.groupBy("reporting_starts").agg(
+        F.sum(money_exact(F.col("spend"))).alias("_s"), F.sum(money_rest(F.col("spend"))).alias("_rest"))
+    t = per_day.agg(money_joined(F.sum("_s"), F.sum("_rest")).alias("_total"), F.count("reporting_starts").alias("days"))
     return t.select(
-        F.coalesce(F.col("_total").cast("double"), F.lit(0.0)).alias("total_spend"),
+        F.coalesce(F.col("_total"), F.lit(0.0)).alias("total_spend"),
         "days",
-        F.when(F.col("days") > 0, F.col("_total").cast("double") / F.col("days")).alias("avg_spend_per_day"))
+        F.when(F.col("days") > 0, F.col("_total") / F.col("days")).alias("avg_spend_per_day"))
 
 
 def source_summary(df: DataFrame) -> DataFrame:

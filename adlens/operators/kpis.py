@@ -13,12 +13,32 @@ from adlens.functions import money, money_plain, percent_plain, ratio_or_zero, r
 
 # exact money arithmetic: sums of cents do not depend on the summation order
 MONEY = "decimal(24,6)"
+# amounts that the decimal holds; beyond them (and for infinite ones) cents no longer show in a double
+EXACT_BELOW = 1e15
+
+
+def money_exact(c: Column) -> Column:
+    """The amount as a decimal; null where it is too large, infinite or not a number."""
+    return F.when(F.abs(c) < F.lit(EXACT_BELOW), c.cast(MONEY))
+
+
+def money_rest(c: Column) -> Column:
+    """The amounts that :func:`money_exact` leaves out, as doubles."""
+    return F.when(~(F.abs(c) < F.lit(EXACT_BELOW)), c)
+
+
+def money_joined(exact: Column, rest: Column) -> Column:
+    """Total of a decimal sum and the double sum of what it left out."""
+    exact = exact.cast("double")
+    return F.when(rest.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + rest)
 
 
 def money_sum(c: str | Column) -> Column:
-    """Sum of a money column, exact whatever the partitioning; returned as double."""
+    """Sum of a money column as double: exact whatever the partitioning for the
+    amounts a decimal holds, plus the double sum of any others, so an infinite
+    or huge amount makes the total infinite or huge instead of being lost."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.sum(c.cast(MONEY)).cast("double")
+    return money_joined(F.sum(money_exact(c)), F.sum(money_rest(c)))
 
 
 def total(c: str) -> Column:

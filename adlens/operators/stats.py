@@ -4,20 +4,12 @@ correlation matrix of the measures (A14).
 Exact quantiles without holding a group in one task
 ---------------------------------------------------
 ``percentile`` keeps every distinct value of a group in one aggregation
-buffer, which fails when one group holds a third of 100 TB. Here a row's
-rank inside its group is computed with a distributed sort instead:
-
-1. range-partition (group, value) - Spark samples the keys, so a hot group
-   is cut into many partitions by value;
-2. sort inside each partition and number rows with
-   ``monotonically_increasing_id`` (consecutive inside a partition);
-3. per-partition row counts (one row per partition) give each partition's
-   global offset, attached with a broadcast of that partition-sized table;
-4. the rank inside a group is the global rank minus the group's first rank.
-
-Only the ranks that interpolation needs (at most six per group) are then
-kept. ``exact=False`` uses ``percentile_approx`` (mergeable sketch, one
-aggregation, no row shuffle) instead.
+buffer, which fails when one group holds a third of 100 TB. Here one pass
+counts how often each value occurs in each group (ties meet map-side); the
+counts are written, range-partitioned on (group, value) so that a hot group is
+cut by value, and summed up, which gives the ranks each value holds. Only the
+values at the ranks that interpolation needs are kept. ``exact=False`` uses
+``percentile_approx`` (mergeable sketch, no shuffle of values) instead.
 """
 
 from __future__ import annotations
@@ -28,23 +20,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.schema import MEASURES
+from adlens.session import staged_table
 
 QUARTILES = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
 INF = float("inf")
 
 
-def _partitions(spark, requested: int | None) -> int:
-    if requested:
-        return int(requested)
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-
-
-def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_number",
-                      partitions: int | None = None) -> DataFrame:
+def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
     """1-based row number of ``df`` in ``order``, computed by a distributed
-    range-partitioned sort (no single-partition window)."""
-    n = _partitions(df.sparkSession, partitions)
-    r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    range-partitioned sort (no single-partition window). ``df`` is read twice."""
+    r = (df.repartitionByRange(*order).sortWithinPartitions(*order)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
     parts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
@@ -58,48 +43,38 @@ def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_numb
             .drop("_pid", "_mid", "_first", "_before"))
 
 
-def _positions(n: Column, p: float, method: str) -> Column:
-    """0-based interpolation position of quantile ``p`` in ``n`` sorted values."""
-    if method == "linear":  # (n - 1) p, as numpy / SQL percentile_cont
-        pos = (n - 1) * F.lit(p)
-    elif method == "np_half":  # n p + 1/2 (1-based), the box chart's default
-        pos = n * F.lit(p) - F.lit(0.5)
-    else:
-        raise ValueError("method must be 'linear' or 'np_half'")
-    return F.least(F.greatest(pos, F.lit(0.0)), (n - 1).cast("double"))
+def value_counts(base: DataFrame, dim: str) -> DataFrame:
+    """(dim, x, c): how often each value occurs in each group.
+
+    The only pass over the raw rows. Equal values meet in the tasks already
+    (map-side), so a value shared by most rows of a group is one row a task.
+    """
+    return staged_table(base.groupBy(dim, "x").agg(F.count(F.lit(1)).alias("c")), "value_counts")
 
 
-def ranked_in_groups(base: DataFrame, dim: str, value: str = "x",
-                     partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """0-based rank of every row inside its ``dim`` group in ``value`` order.
+def _cumulative(counts: DataFrame, dim: str) -> DataFrame:
+    """(dim, x, c, before, n): rows of the group below each value, and in the group.
 
-    Returns ``(rows, runs)``: ``rows`` = (dim, value, _r, n) and ``runs`` =
-    one row per (partition, group) with the group's size ``n`` and min/max.
-    The rows are range-partitioned on (dim, value) - a hot group is cut
-    into several partitions by value - and sorted; a row's rank is the
-    number of rows of its group in earlier partitions plus its position in
-    its own partition's run of that group.
+    The distinct values are range-partitioned on (dim, x), so a hot group is
+    cut by value, and summed within each range; the ranges' totals (one row a
+    range and group) shift them.
     """
-    n_parts = _partitions(base.sparkSession, partitions)
-    r = (base.repartitionByRange(n_parts, dim, value).sortWithinPartitions(dim, value)
-         .selectExpr("*", "spark_partition_id() AS _pid", "monotonically_increasing_id() AS _mid"))
     d = _q(dim)
-    runs = (r.groupBy("_pid", dim)
-            .agg(F.expr("count(1) AS _cnt"), F.expr("min(_mid) AS _first"),
-                 F.expr(f"min({_q(value)}) AS _lo"), F.expr(f"max({_q(value)}) AS _hi"))
-            .selectExpr("*",
-                        f"coalesce(sum(_cnt) OVER (PARTITION BY {d} ORDER BY _pid "
-                        f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before",
-                        f"sum(_cnt) OVER (PARTITION BY {d}) AS n"))
-    rows = (r.join(runs.select("_pid", dim, "_first", "_before", "n"), ["_pid", dim])
-            .selectExpr(d, _q(value), "_before + (_mid - _first) AS _r", "n"))
-    return rows, runs
-
-
-def _quartiles_exact(base: DataFrame, dim: str, method: str, partitions: int | None) -> DataFrame:
+    ranges = staged_table(counts.repartitionByRange(dim, "x").withColumn("_pid", F.spark_partition_id()), "value_ranges")
+    totals = (ranges.groupBy("_pid", dim).agg(F.sum("c").alias("_c"))
+              .selectExpr("_pid AS _p", f"{d} AS _d",
+                          "coalesce(sum(_c) OVER (PARTITION BY " + d + " ORDER BY _pid "
+                          "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _shift",
+                          f"sum(_c) OVER (PARTITION BY {d}) AS n"))
+    within = ranges.selectExpr("*", f"coalesce(sum(c) OVER (PARTITION BY _pid, {d} ORDER BY x "
+                                    "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before")
+    return (within.join(totals, (F.col("_pid") == F.col("_p")) & (F.col(dim) == F.col("_d")))
+            .selectExpr(d, "x", "c", "_shift + _before AS before", "n"))
+
+
+def _quartiles_exact(counts: DataFrame, dim: str, method: str) -> DataFrame:
     if method not in ("linear", "np_half"):
         raise ValueError("method must be 'linear' or 'np_half'")
-    rows, runs = ranked_in_groups(base, dim, "x", partitions)
     d = _q(dim)
     pos_cols = []
     for name, p in QUARTILES:
@@ -108,16 +83,13 @@ def _quartiles_exact(base: DataFrame, dim: str, method: str, partitions: int | N
         pos_cols += [f"CAST(floor({pos}) AS BIGINT) AS _{name}_lo", f"CAST(ceil({pos}) AS BIGINT) AS _{name}_hi",
                      f"{pos} - floor({pos}) AS _{name}_f"]
     ranks = [f"_{q}_{e}" for q, _ in QUARTILES for e in ("lo", "hi")]
-    # every row carries its group's size, so the ranks interpolation needs
-    # are known row by row: no join of raw rows to group statistics
-    picked = (rows.selectExpr("*", *pos_cols)
-              .where(f"_r IN ({', '.join(ranks)})")
+    # a value holds the ranks before .. before + c - 1 of its group
+    picked = (_cumulative(counts, dim).selectExpr("*", *pos_cols)
               .groupBy(dim)
-              .agg(*[F.expr(f"max(CASE WHEN _r = {t} THEN x END) AS {t}v") for t in ranks],
+              .agg(F.first("n").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"),
+                   *[F.expr(f"max(CASE WHEN {t} >= before AND {t} < before + c THEN x END) AS {t}v") for t in ranks],
                    *[F.expr(f"first(_{q}_f) AS _{q}_f") for q, _ in QUARTILES]))
-    groups = runs.groupBy(dim).agg(F.expr("sum(_cnt) AS n"), F.expr("min(_lo) AS min"),
-                                   F.expr("max(_hi) AS max"))
-    return groups.join(picked, dim).selectExpr(
+    return picked.selectExpr(
         d, "n", "min", "max",
         *[f"_{q}_lov + (_{q}_hiv - _{q}_lov) * _{q}_f AS {q}" for q, _ in QUARTILES])
 
@@ -136,12 +108,11 @@ def _base(df: DataFrame, dim: str, metric: str) -> DataFrame:
 
 
 def quartiles(df: DataFrame, dim: str = "ad_delivery", metric: str = "cpc_link",
-              method: str = "linear", exact: bool = True, accuracy: int = 10000,
-              partitions: int | None = None) -> DataFrame:
+              method: str = "linear", exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """(dim, n, min, max, q1, median, q3) per group."""
     base = _base(df, dim, metric)
     if exact:
-        return _quartiles_exact(base, dim, method, partitions)
+        return _quartiles_exact(value_counts(base, dim), dim, method)
     return _quartiles_approx(base, dim, accuracy)
 
 
@@ -152,52 +123,32 @@ def _with_fences(q: DataFrame) -> DataFrame:
                     (F.col("q3") + F.lit(1.5) * iqr).alias("upper_fence"))
 
 
-def _fences(df: DataFrame, dim: str, metric: str, method: str, exact: bool, accuracy: int,
-            partitions: int | None) -> DataFrame:
-    """Quartiles and fences per group, computed once.
-
-    The per-group table is used twice (fences for the whisker pass, and the
-    output), and the ranked rows behind it carry run-time ids that Spark
-    cannot reuse between the two, so it is checkpointed: written once to
-    the shared checkpoint folder, lineage cut. Its size is the number of
-    groups.
-    """
-    from adlens.session import shared_dir
-
-    q = _with_fences(quartiles(df, dim, metric, method, exact, accuracy, partitions))
-    shared_dir(df.sparkSession)  # make sure a checkpoint folder is set
-    return bounded_broadcast(q.checkpoint(eager=True))
-
-
-# groups per broadcast fence table (about 100 bytes a row)
-MAX_BROADCAST_GROUPS = 1_000_000
-
-
-def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_GROUPS) -> DataFrame:
-    """``small`` marked for broadcast when its row count is within
-    ``max_rows`` (counted on the already materialised table); beyond that it
-    is joined normally, and AQE's skew-join splitting handles hot keys."""
-    return F.broadcast(small) if small.count() <= max_rows else small
+def _fenced(df: DataFrame, dim: str, metric: str, method: str, exact: bool,
+            accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """(counts, quartiles with fences), both written once; nothing after
+    them reads raw rows (with ``exact=False`` the sketch does, once more)."""
+    counts = value_counts(_base(df, dim, metric), dim)
+    q = _quartiles_exact(counts, dim, method) if exact else _quartiles_approx(_base(df, dim, metric), dim, accuracy)
+    return counts, staged_table(_with_fences(q), "box_quartiles")
 
 
 def box_stats(df: DataFrame, dim: str = "ad_delivery", metric: str = "cpc_link",
-              method: str = "linear", exact: bool = True, accuracy: int = 10000,
-              partitions: int | None = None) -> DataFrame:
+              method: str = "linear", exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Per group n, min, q1, median, q3, max, IQR, fences (1.5 IQR) and
     whiskers (the most extreme values inside the fences).
 
     ``method='linear'`` interpolates at (n-1)p like SQL ``percentile_cont``;
     ``method='np_half'`` at np+1/2, the box chart's default. Imputed zeros
-    are values like any other.
+    are values like any other. One pass over the raw rows: everything is
+    read off the written value counts.
     """
-    q = _fences(df, dim, metric, method, exact, accuracy, partitions)
-    base = _base(df, dim, metric)
-    whiskers = (base.join(q.select(dim, "lower_fence", "upper_fence"), dim)
+    counts, q = _fenced(df, dim, metric, method, exact, accuracy)
+    outside = (F.col("x") < F.col("lower_fence")) | (F.col("x") > F.col("upper_fence"))
+    whiskers = (counts.join(q.select(dim, "lower_fence", "upper_fence"), dim)
                 .groupBy(dim)
                 .agg(F.min(F.when(F.col("x") >= F.col("lower_fence"), F.col("x"))).alias("lower_whisker"),
                      F.max(F.when(F.col("x") <= F.col("upper_fence"), F.col("x"))).alias("upper_whisker"),
-                     F.count_if((F.col("x") < F.col("lower_fence")) | (F.col("x") > F.col("upper_fence")))
-                     .alias("n_outliers")))
+                     F.sum(F.when(outside, F.col("c")).otherwise(0)).alias("n_outliers")))
     return (q.join(whiskers, dim)
             .select(dim, "n", "min", "q1", "median", "q3", "max", "iqr", "lower_fence", "upper_fence",
                     "lower_whisker", "upper_whisker", "n_outliers")
@@ -205,14 +156,13 @@ def box_stats(df: DataFrame, dim: str = "ad_delivery", metric: str = "cpc_link",
 
 
 def box_outliers(df: DataFrame, dim: str = "ad_delivery", metric: str = "cpc_link",
-                 method: str = "linear", exact: bool = True, accuracy: int = 10000,
-                 partitions: int | None = None) -> DataFrame:
+                 method: str = "linear", exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """The points drawn outside the whiskers: (dim, value) of every row
     beyond a fence."""
-    q = _fences(df, dim, metric, method, exact, accuracy, partitions)
-    base = _base(df, dim, metric)
-    return (base.join(q.select(dim, "lower_fence", "upper_fence"), dim)
+    counts, q = _fenced(df, dim, metric, method, exact, accuracy)
+    return (counts.join(q.select(dim, "lower_fence", "upper_fence"), dim)
             .where((F.col("x") < F.col("lower_fence")) | (F.col("x") > F.col("upper_fence")))
+            .select(dim, "x", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("_copy"))
             .select(dim, F.col("x").alias(metric)))
 
 
@@ -220,11 +170,6 @@ def box_outliers(df: DataFrame, dim: str = "ad_delivery", metric: str = "cpc_lin
 # correlation
 
 
-def _finite(c: str) -> Column:
-    x = F.col(c)
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(INF))
-
-
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -194,6 +194,41 @@ f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 *
       FROM q)"""
 
 
+_PREVIEW_KEYS = ("source_file", "reporting_starts", "reporting_ends", "ad_name")
+PREVIEW_SQL = "SELECT * FROM ad_report ORDER BY " + ", ".join(
+    f"{c} ASC NULLS LAST" for c in (*_PREVIEW_KEYS, *(c for c in AD_COLUMNS if c not in _PREVIEW_KEYS))) + " LIMIT {n}"
+
+
+def _half_sql(p: float) -> str:
+    """Interpolated value at position n * p + 1/2 (1-based) of the sorted list ``xs``."""
+    pos = f"least(greatest(n * {p} - 0.5, 0), n - 1)"
+    lo, hi = (f"xs[CAST({f}({pos}) AS BIGINT) + 1]" for f in ("floor", "ceil"))
+    return f"{lo} + ({hi} - {lo}) * ({pos} - floor({pos}))"
+
+
+_BANDS_SQL = """SELECT day AS reporting_starts, ad_name, spend,
+  CAST(SUM(CAST(spend AS DECIMAL(24,6))) OVER w - CAST(spend AS DECIMAL(24,6)) AS DOUBLE) AS y0,
+  CAST(SUM(CAST(spend AS DECIMAL(24,6))) OVER w AS DOUBLE) AS y1
+FROM {source} WINDOW w AS (PARTITION BY day ORDER BY ad_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+# ---------------------------------------------------------------------------
+# amounts beyond the exact range, and value tables as filters
+
+HUGE = "147573952589676412928"  # 2**67: multiples of it are exact in a double
+
+
+def _money_extremes(d: DataFrame) -> DataFrame:
+    """Spend and results per ad when one ad's spend is infinite and another's huge."""
+    spend = (F.when(F.col("ad_name") == ADS[0], F.lit(float("inf"))).when(F.col("ad_name") == ADS[1], F.lit(float(HUGE)))
+             .otherwise(F.col("spend")))
+    return op.breakdown(d.withColumn("spend", spend), "ad_name").select("ad_name", "spend", "results")
+
+
+def _some_ads(d: DataFrame) -> DataFrame:
+    return (d.where("ad_delivery = 'inactive'").groupBy("ad_name").agg(F.max("link_clicks").alias("m"))
+            .where("m >= 5 AND ad_name < 'Brand#3'").select("ad_name"))
+
+
 # ---------------------------------------------------------------------------
 # ingest_coerce: export text cells derived from lineitem, then the typing rules
 
@@ -369,10 +404,7 @@ SELECT CAST(3 AS INTEGER), 'Results', total_results,
     Report("options_ad_name", lambda d: op.options(d, "ad_name"),
            _with("SELECT DISTINCT ad_name FROM ad_report WHERE ad_name IS NOT NULL")),
     Report("preview", lambda d: op.preview(d, 20),
-           _with("SELECT * FROM ad_report ORDER BY " + ", ".join(
-               f"{c} ASC NULLS LAST" for c in ("source_file", "reporting_starts", "reporting_ends", "ad_name")
-               + tuple(c for c in AD_COLUMNS if c not in
-                       ("source_file", "reporting_starts", "reporting_ends", "ad_name"))) + " LIMIT 20")),
+           _with(PREVIEW_SQL.format(n=20))),
     Report("source_summary", op.source_summary,
            _with("SELECT source_file, COUNT(*) AS rows FROM ad_report GROUP BY source_file")),
     Report("union_exports", _union_exports,
@@ -407,12 +439,18 @@ SELECT CAST(3 AS INTEGER), 'Results', total_results,
            _with("SELECT day AS reporting_starts, ad_name, spend FROM cells", _cells_sql("reporting_starts"))),
     Report("spend_by_ad_dense", lambda d: op.spend_by_ad_dense(d, "reporting_starts"),
            _with("SELECT day AS reporting_starts, ad_name, spend FROM grid", _grid_sql("reporting_starts"))),
-    Report("stacked", lambda d: op.stacked(d, "reporting_starts"),
+    Report("stacked", lambda d: op.stacked(d, "reporting_starts", dense=True),
            _with("""SELECT day AS reporting_starts, ad_name, spend,
   CAST(SUM(CAST(spend AS DECIMAL(24,6))) OVER w - CAST(spend AS DECIMAL(24,6)) AS DOUBLE) AS y0,
   CAST(SUM(CAST(spend AS DECIMAL(24,6))) OVER w AS DOUBLE) AS y1
 FROM grid WINDOW w AS (PARTITION BY day ORDER BY ad_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
                  _grid_sql("reporting_starts"))),
+    Report("stacked_sparse", lambda d: op.stacked(d, "reporting_starts"),
+           _with(_BANDS_SQL.format(source="cells"), _cells_sql("reporting_starts"))),
+    Report("stacked_top5", lambda d: op.stacked(d, "reporting_starts", top_n_ads=5),
+           _with(_BANDS_SQL.format(source="(SELECT * FROM cells WHERE ad_name IN (SELECT ad_name FROM cells "
+                                          "GROUP BY ad_name ORDER BY SUM(CAST(spend AS DECIMAL(24,6))) DESC, ad_name "
+                                          "LIMIT 5)) AS t"), _cells_sql("reporting_starts"))),
     Report("spend_share", lambda d: op.spend_share(d, "ad_delivery"),
            _with(f"""SELECT ad_delivery, CAST(s AS DOUBLE) AS spend,
   CASE WHEN SUM(s) OVER () <> 0 THEN CAST(s AS DOUBLE) / CAST(SUM(s) OVER () AS DOUBLE) ELSE 0 END AS share
@@ -430,6 +468,11 @@ FROM f JOIN (SELECT b.g, MIN(x) FILTER (WHERE x >= lower_fence) AS lower_whisker
     Report("box_outliers", lambda d: op.box_outliers(d, "ad_delivery", "cpc_link"),
            _with("SELECT b.g AS ad_delivery, b.x AS cpc_link FROM base b JOIN f ON b.g = f.g "
                  "WHERE b.x < f.lower_fence OR b.x > f.upper_fence", _box_sql("ad_delivery", "cpc_link"))),
+    Report("box_stats_half", lambda d: op.quartiles(d, "ad_delivery", "cpc_link", method="np_half"),
+           _with(f"""SELECT g AS ad_delivery, n, mn AS min, mx AS max, {_half_sql(0.25)} AS q1, {_half_sql(0.5)} AS median,
+  {_half_sql(0.75)} AS q3
+FROM (SELECT g, COUNT(*) AS n, MIN(x) AS mn, MAX(x) AS mx, list_sort(list(x)) AS xs FROM base GROUP BY g) AS s""",
+                 _box_sql("ad_delivery", "cpc_link").split(",\nq AS")[0]), ("q1", "median", "q3")),
     Report("rank_ads", op.rank_ads,
            _with(f"""SELECT ad_name, cost_per_result, spend, results, impressions,
   ROW_NUMBER() OVER (ORDER BY cost_per_result ASC NULLS LAST, ad_name) AS rank
@@ -487,6 +530,21 @@ FROM (SELECT MIN(reporting_starts) AS s, MAX(reporting_ends) AS e FROM ad_report
  FROM totals) AS k""", TOTALS_SQL,
                  "a AS (SELECT ad_name, AVG(cost_per_result) AS m FROM ad_report "
                  "WHERE ad_name IS NOT NULL GROUP BY ad_name)")),
+    Report("insight_preview", op.insight_preview, _with(PREVIEW_SQL.format(n=5))),
+    Report("money_extremes", _money_extremes,
+           _with(f"""SELECT ad_name, CAST(SUM(spend) AS DOUBLE) AS spend, SUM(results) AS results FROM (
+  SELECT ad_name, results, CASE ad_name WHEN '{ADS[0]}' THEN CAST('Infinity' AS DOUBLE) WHEN '{ADS[1]}' THEN {HUGE}
+    ELSE 0 END AS spend FROM ad_report) AS x WHERE ad_name IN ('{ADS[0]}', '{ADS[1]}') GROUP BY ad_name
+UNION ALL
+SELECT ad_name, {MONEY_SQL.format(c='spend')} AS spend, SUM(results) AS results FROM ad_report
+WHERE ad_name NOT IN ('{ADS[0]}', '{ADS[1]}') GROUP BY ad_name""")),
+    Report("filter_frame", lambda d: op.filter_ads(d, date_range=None, ads=_some_ads(d)),
+           _filter_sql("ad_name IN (SELECT ad_name FROM ad_report WHERE ad_delivery = 'inactive' GROUP BY ad_name "
+                       "HAVING MAX(link_clicks) >= 5 AND ad_name < 'Brand#3')")),
+    Report("filter_frame_summary", lambda d: op.filter_summary(d, date_range=None, ads=_some_ads(d), source_files=SOURCES),
+           _with("SELECT COUNT(*) FILTER (WHERE ad_name IN (SELECT ad_name FROM ad_report WHERE ad_delivery = 'inactive' "
+                 "GROUP BY ad_name HAVING MAX(link_clicks) >= 5 AND ad_name < 'Brand#3') AND " + _in_list("source_file", SOURCES)
+                 + ") AS kept_rows, COUNT(*) AS total_rows FROM ad_report")),
     Report("highest_ctr_ad", op.highest_ctr_ad,
            _with("""SELECT ad_name, ctr FROM (
   SELECT ad_name, SUM(link_clicks) / SUM(impressions) * 100 AS ctr FROM ad_report

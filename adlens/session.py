@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -62,6 +63,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def staged_table(df, name: str):
+    """``df`` written as Parquet under a fresh name in the shared folder and
+    read back: computed once however often it is used, lineage cut."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/adlens_{name}_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """True when a finished write left its ``_SUCCESS`` marker at ``path``.
 

@@ -131,7 +131,7 @@ def test_quartiles_match_numpy(spark, rows):
     df = frame(spark, [dict(ad_delivery=g, cpc_link=float(v)) for g, v in rows])
     pdf = pd.DataFrame(rows, columns=["g", "v"])
     for method in ("linear", "np_half"):
-        got = {r.ad_delivery: r for r in op.box_stats(df, method=method, partitions=3).collect()}
+        got = {r.ad_delivery: r for r in op.box_stats(df, method=method).collect()}
         for g, part in pdf.groupby("g"):
             x = np.sort(part.v.to_numpy(dtype=float))
             n = len(x)
