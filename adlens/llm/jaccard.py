@@ -21,7 +21,8 @@ Documents with equal shingle sets collapse first. Then, exactly:
    again: their documents are replicated to every such posting's pivot and
    measured; classes merge; what is still open is joined between classes only,
    and only where the distances to the common pivot differ by at most r
-   (triangle inequality). Every other pair is proven further apart than r.
+   (triangle inequality) and the places of the posting in both sets leave
+   room for the needed overlap. Every other pair is proven further apart than r.
 
 Classes are linked by :mod:`adlens.llm.components`. Shingles are 64-bit hashes
 (:mod:`adlens.llm.shingle`), sets are told apart by 128 bits.
@@ -196,7 +197,8 @@ def _open(postings: DataFrame, classes: _Classes) -> DataFrame:
 
 
 def _postings(sets: DataFrame, t: int) -> DataFrame:
-    """(h, rep, central): the rare-first prefix of each set; central = mean frequency of its shingles."""
+    """(h, rep, n, place, central): the rare-first prefix of each set; place = how many of its n shingles
+    come before; central = mean frequency of its shingles."""
     rows = sets.select("rep", F.size("s").cast("long").alias("n"), F.explode("s").alias("h"))
     often = staged(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jac_df")
     known = rows.join(often, "h")
@@ -205,8 +207,9 @@ def _postings(sets: DataFrame, t: int) -> DataFrame:
         "h", "rep", "n", F.row_number().over(own.orderBy("df", "h")).cast("long").alias("at"),
         F.count(F.lit(1)).over(own).alias("shared"), (F.sum("df").over(own) * 1000 / F.col("n")).cast("long").alias("central"))
     # a set's shingles that no other has are the rarest of all and come first
-    prefix = F.expr(f"n - (n * {t} + 99) div 100 + 1") - (F.col("n") - F.col("shared"))
-    return staged(ranked.where(F.col("at") <= prefix).select("h", "rep", "central"), "jac_postings")
+    place = F.col("at") - 1 + F.col("n") - F.col("shared")
+    return staged(ranked.withColumn("place", place).where(F.expr(f"place <= n - (n * {t} + 99) div 100"))
+                  .select("h", "rep", "n", "place", "central"), "jac_postings")
 
 
 def classes_of(docs: DataFrame, threshold: int = THRESHOLD, extra: int = EXTRA) -> tuple[DataFrame, DataFrame]:
@@ -256,10 +259,15 @@ def classes_of(docs: DataFrame, threshold: int = THRESHOLD, extra: int = EXTRA)
     main = staged(sizes.groupBy("h").agg(F.max(F.struct("m", "cls")).alias("top"), F.count(F.lit(1)).alias("k"))
                   .where("k > 1").select("h", F.col("top.cls").alias("main")), "jac_main")
     minor = rows.join(main, "h").where("cls <> main").select(
-        "h", F.col("rep").alias("y"), F.col("cls").alias("cy"), F.col("d").alias("dy"))
+        "h", F.col("rep").alias("y"), F.col("cls").alias("cy"), F.col("d").alias("dy"), F.col("n").alias("ny"),
+        F.col("place").alias("py"))
     radius = (100 - t) / 100 + 1e-9
-    pairs = (rows.select("h", F.col("rep").alias("x"), "cls", "d").join(minor, "h")
-             .where((F.col("cls") != F.col("cy")) & (F.abs(F.col("d") - F.col("dy")) <= radius))
+    # at the first posting that two sets share, what follows it in both must still hold the needed overlap;
+    # a pair that fails this here either has an earlier common posting or is not similar
+    needed = F.expr(f"({t} * (n + ny) + {99 + t}) div {100 + t}")
+    pairs = (rows.select("h", F.col("rep").alias("x"), "cls", "d", "n", "place").join(minor, "h")
+             .where((F.col("cls") != F.col("cy")) & (F.abs(F.col("d") - F.col("dy")) <= radius)
+                    & (F.col("n") - F.col("place") >= needed) & (F.col("ny") - F.col("py") >= needed))
              .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
     classes.link(_measure(staged(pairs, "jac_pairs"), sets).where(similar))
     return facts, reps.join(classes.table.select("rep", "cls"), "rep", "left").select(
