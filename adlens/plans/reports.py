@@ -11,6 +11,7 @@ quantiles) are rounded to 6 decimals on both sides; money sums are exact
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -24,7 +25,8 @@ from adlens.schema import AD_COLUMNS, MEASURES, NA_TOKENS
 from adlens.session import is_complete, shared_dir
 from adlens.sources.adapter import _snapshot_key, ad_report
 from adlens.sources.exports import read_exports, union_frames
-from adlens.sources.sinks import write_csv
+from adlens.sources.sinks import (BREAKDOWN_CSV, DAILY_CSV, RANKING_CSV, load_ads, save_ads,
+                                  with_display_headers, write_csv, write_report)
 
 # --- Fixed parameters of the registered queries (values of the test tables) --
 DATE_RANGE = ("1996-01-01", "1996-12-31")
@@ -301,14 +303,10 @@ FROM raw"""
 
 
 def _union_exports(ads: DataFrame) -> DataFrame:
-    frames = []
-    for i in range(4):
-        name = f"export_{i}.csv"
-        f = ads.where(F.col("source_file") == name)
-        if name in FILES_WITHOUT_CAMPAIGN:
-            f = f.drop("campaign")
-        frames.append(f)
-    return union_frames(frames).select(*AD_COLUMNS)
+    """Exports without a campaign column united by name with those that have one."""
+    without = F.col("source_file").isin(*FILES_WITHOUT_CAMPAIGN)
+    named, bare = ads.where(~without | F.col("source_file").isNull()), ads.where(without).drop("campaign")
+    return union_frames([named, bare]).select(*AD_COLUMNS)
 
 
 # ---------------------------------------------------------------------------
@@ -317,13 +315,76 @@ def _union_exports(ads: DataFrame) -> DataFrame:
 
 
 def _ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = f"{shared_dir(spark)}/adlens_exports_{_snapshot_key(sf_dir)}"
-    csv_dir = f"{base}/csv"
+    csv_dir = f"{shared_dir(spark)}/adlens_exports_{_snapshot_key(spark, sf_dir)}/csv"
     if not is_complete(spark, csv_dir):
-        write_csv(ad_report(spark, sf_dir).drop("source_file"), csv_dir, single_file=False)
-    load = read_exports(spark, [csv_dir], stage_path=f"{base}/raw_v2")
+        write_csv(ad_report(spark, sf_dir).drop("source_file"), csv_dir)
     # file names of Spark's part files are not stable; everything else is
-    return load.table.drop("source_file")
+    return read_exports(spark, [csv_dir]).table.drop("source_file")
+
+
+# ---------------------------------------------------------------------------
+# ingest_exports: the ad table as one export file per source, in two header
+# layouts (the second reversed, with an extra `_id` and an extra that has the
+# canonical name of another column), beside a file that lacks a required column and a foreign file
+
+MISSING_FILE, MISSING_HEADER, FOREIGN_FILE = "bad.csv", "Amount spent (USD)", "notes.txt"
+
+
+def _export_folder(spark: SparkSession, sf_dir: str) -> str:
+    folder = f"{shared_dir(spark)}/adlens_sources_{_snapshot_key(spark, sf_dir)}"
+    if not is_complete(spark, f"{folder}/done"):
+        ads = ad_report(spark, sf_dir)
+        for r in ads.select("source_file").distinct().collect():
+            own = ads.where(F.col("source_file") == r.source_file).drop("source_file")
+            if r.source_file in FILES_WITHOUT_CAMPAIGN:
+                own = own.withColumn("_id", F.concat("ad_name", F.lit("#"), "ad_delivery")).drop("campaign")
+                own = with_display_headers(own.select(*reversed(own.columns))).withColumn("spend", F.lit("twin"))
+            else:
+                own = with_display_headers(own)
+            write_report(own, f"{folder}/in", r.source_file, display_headers=False)
+        write_report(ads.where(F.col("ad_name") == ADS[0]).drop("spend", "source_file"), f"{folder}/in", MISSING_FILE)
+        write_report(ads.groupBy("ad_name").count(), f"{folder}/in", FOREIGN_FILE)
+        ads.select("source_file").distinct().write.parquet(f"{folder}/done")
+    return f"{folder}/in"
+
+
+def _ingest_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_exports(spark, [_export_folder(spark, sf_dir)]).table
+    return table.select(*AD_COLUMNS, F.col("_id").alias("id_extra"), F.col("`spend.1`").alias("twin"))
+
+
+def _ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load = read_exports(spark, [_export_folder(spark, sf_dir)])
+    rows = load.table.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
+    return (load.report.join(rows, "source_file", "left")
+            .select("source_file", "status", F.array_join("missing_columns", ",").alias("missing"),
+                    F.coalesce("rows", F.lit(0)).alias("rows")))
+
+
+def _ingest_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _export_folder(spark, sf_dir)
+    load = read_exports(spark, [f"{folder}/{MISSING_FILE}", f"{folder}/{FOREIGN_FILE}"])
+    return load.report.groupBy("status").agg(F.count(F.lit(1)).alias("files")).withColumn(
+        "rows", load.table.agg(F.count(F.lit(1))).scalar())
+
+
+# ---------------------------------------------------------------------------
+# sinks: what the CSV downloads and the stored table hold
+
+
+def _written(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    path = write_report(df, f"{shared_dir(spark)}/adlens_reports_{uuid.uuid4().hex}", name)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def _lines_sql(header: str, columns: tuple[str, ...], source: str) -> str:
+    cells = ", ".join(f"COALESCE(CAST({c} AS VARCHAR), '')" for c in columns)
+    return f"SELECT '{header}' AS line UNION ALL SELECT concat_ws(',', {cells}) AS line FROM ({source}) AS t"
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/adlens_saved_{uuid.uuid4().hex}"
+    return load_ads(spark, save_ads(ad_report(spark, sf_dir), path))
 
 
 # ---------------------------------------------------------------------------
@@ -350,12 +411,16 @@ def _correlation_wide_sql() -> str:
 # ---------------------------------------------------------------------------
 
 def _breakdown_sql(dim: str) -> str:
-    return _with(f"""SELECT {dim}, spend, link_clicks, impressions, results,
+    return _with(_breakdown_body(dim))
+
+
+def _breakdown_body(dim: str) -> str:
+    return f"""SELECT {dim}, spend, link_clicks, impressions, results,
   {_inf_ratio('link_clicks', 'impressions', ' * 100')} AS ctr_link,
   {_inf_ratio('spend', 'results')} AS cost_per_result
 FROM (SELECT {dim}, {MONEY_SQL.format(c='spend')} AS spend, SUM(link_clicks) AS link_clicks,
              SUM(impressions) AS impressions, SUM(results) AS results
-      FROM ad_report WHERE {dim} IS NOT NULL GROUP BY {dim}) AS b""")
+      FROM ad_report WHERE {dim} IS NOT NULL GROUP BY {dim}) AS b"""
 
 
 def _filter_sql(where: str) -> str:
@@ -557,6 +622,36 @@ ORDER BY ctr DESC, ad_name LIMIT 1""")),
 FROM (SELECT reporting_starts, SUM(CAST(spend AS DECIMAL(24,6))) AS s FROM ad_report
       GROUP BY reporting_starts) AS d""")),
     Report("ingest_coerce", _ingest_coerce, INGEST_COERCE_SQL, from_tables=True),
+    Report("ingest_exports", _ingest_exports,
+           _with(f"""SELECT * REPLACE (CASE WHEN {_in_list('source_file', FILES_WITHOUT_CAMPAIGN)} THEN NULL ELSE campaign END
+  AS campaign), CASE WHEN {_in_list('source_file', FILES_WITHOUT_CAMPAIGN)} THEN ad_name || '#' || ad_delivery END
+  AS id_extra, CASE WHEN {_in_list('source_file', FILES_WITHOUT_CAMPAIGN)} THEN 'twin' END AS twin FROM ad_report"""),
+           from_tables=True),
+    Report("ingest_report", _ingest_report,
+           _with(f"""SELECT source_file, 'ok' AS status, CAST(NULL AS VARCHAR) AS missing, COUNT(*) AS rows FROM ad_report
+GROUP BY source_file UNION ALL SELECT '{MISSING_FILE}', 'missing_columns', '{MISSING_HEADER}', 0
+UNION ALL SELECT '{FOREIGN_FILE}', 'unsupported', NULL, 0"""), from_tables=True),
+    Report("ingest_nothing", _ingest_nothing,
+           "SELECT 'missing_columns' AS status, 1 AS files, 0 AS rows UNION ALL SELECT 'unsupported', 1, 0",
+           from_tables=True),
+    Report("csv_daily", lambda s, d: _written(op.daily_series(ad_report(s, d)), s, DAILY_CSV),
+           _with(_lines_sql("Reporting starts,Amount spent (USD),Link clicks,Impressions,Results",
+                            ("reporting_starts", "spend", "link_clicks", "impressions", "results"),
+                            "SELECT day AS reporting_starts, * EXCLUDE (day) FROM dense"),
+                 _daily_sql("reporting_starts")), from_tables=True),
+    Report("csv_breakdown", lambda s, d: _written(op.breakdown(ad_report(s, d), "ad_delivery"), s, BREAKDOWN_CSV),
+           _with(_lines_sql("Ad delivery,Amount spent (USD),Link clicks,Impressions,Results,CTR (link click-through rate),"
+                            "Cost per results",
+                            ("ad_delivery", "spend", "link_clicks", "impressions", "results", "ctr_link", "cost_per_result"),
+                            _breakdown_body("ad_delivery"))), from_tables=True),
+    Report("csv_ranking", lambda s, d: _written(
+               op.rank_ads(ad_report(s, d)).select("rank", "ad_name", "spend", "results", "impressions"), s, RANKING_CSV),
+           _with(_lines_sql("rank,Ad name,Amount spent (USD),Results,Impressions",
+                            ("rank", "ad_name", "spend", "results", "impressions"),
+                            f"""SELECT ROW_NUMBER() OVER (ORDER BY m, ad_name) AS rank, * FROM (SELECT ad_name,
+  round(AVG(cost_per_result), 9) AS m, {MONEY_SQL.format(c='spend')} AS spend, SUM(results) AS results,
+  SUM(impressions) AS impressions FROM ad_report GROUP BY ad_name) AS r""")), from_tables=True),
+    Report("save_load_ads", _saved, _with("SELECT * FROM ad_report"), from_tables=True),
     Report("ingest_roundtrip", _ingest_roundtrip, _with("SELECT * EXCLUDE (source_file) FROM ad_report"),
            from_tables=True),
 ]

@@ -15,7 +15,6 @@ report, with lineage cut at the staged table.
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,39 +89,53 @@ def ad_report_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(*[c.alias(n) for n, c in cols.items()])
 
 
-def _snapshot_key(sf_dir: str) -> str:
+def file_facts(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, length, modification time) of every data file under ``path``,
+    through the session's Hadoop file system (any scheme Spark reads)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    if fs.exists(p):
+        it = fs.listFiles(p, True)
+        while it.hasNext():
+            f = it.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
+def _snapshot_key(spark: SparkSession, sf_dir: str) -> str:
     """Identify the source snapshot by path, size and mtime of its files."""
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    h = hashlib.sha1(sf_dir.encode())
     for t in _TABLES:
-        p = f"{sf_dir}/{t}.parquet"
-        try:
-            st = os.stat(p)
-            h.update(f"{t}:{st.st_size}:{st.st_mtime_ns}".encode())
-        except OSError:  # remote file systems: key on the path only
-            h.update(t.encode())
+        h.update(repr(file_facts(spark, f"{sf_dir}/{t}.parquet")).encode())
     return h.hexdigest()[:16]
 
 
-def stage(df: DataFrame, path: str, sort_by: str = "reporting_starts",
-          partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, *first: str) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``first``, ties (one busy start
+    date may hold every row of an export) split by ad name and content. The
+    number of partitions is left to adaptive execution, which sizes them by
+    their measured bytes."""
+    ties = [c for c in ("ad_name",) if c in df.columns and c not in first]
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return df.repartitionByRange(*first, *ties, content).sortWithinPartitions(*first, *ties)
+
+
+def stage(df: DataFrame, path: str, sort_by: str = "reporting_starts") -> DataFrame:
     """Write ``df`` as Parquet under ``path`` (``_SUCCESS`` marks a complete
     write) unless already there, and return the staged table.
 
-    Rows are range-partitioned by ``sort_by`` (sampled bounds, so a busy day
-    range is split over several files) into at least as many files as the
-    cluster runs tasks at once, and sorted inside each file: scans start
-    with full parallelism and date filters skip files and row groups.
+    Rows are range-partitioned by ``sort_by``, ties split (see ``spread``),
+    and sorted inside each file: scans start with full parallelism and date
+    filters skip files and row groups.
     """
     spark = df.sparkSession
     if not is_complete(spark, path):
-        n = partitions or max(spark.sparkContext.defaultParallelism,
-                              int(spark.conf.get("spark.sql.shuffle.partitions")))
-        (df.repartitionByRange(n, sort_by).sortWithinPartitions(sort_by)
-         .write.mode("overwrite").parquet(path))
+        spread(df, sort_by).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-_STAGED: dict[tuple[int, str], DataFrame] = {}
+_STAGED: dict[tuple[str, str], DataFrame] = {}
 
 
 def ad_report(spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFrame:
@@ -134,8 +147,8 @@ def ad_report(spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFram
     """
     if not staged:
         return ad_report_plan(spark, sf_dir)
-    path = f"{shared_dir(spark)}/adlens_ad_report_v2_{_snapshot_key(sf_dir)}"
-    key = (id(spark), path)
+    path = f"{shared_dir(spark)}/adlens_ad_report_v3_{_snapshot_key(spark, sf_dir)}"
+    key = (spark.sparkContext.applicationId, path)
     if key not in _STAGED:
         if is_complete(spark, path):
             _STAGED[key] = spark.read.parquet(path)

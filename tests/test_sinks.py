@@ -25,7 +25,7 @@ def _one_csv(folder):
 
 def test_breakdown_csv_has_display_headers_and_inf(spark, ads, workdir):
     df = op.breakdown(ads.where("ad_name != '通訳派遣'").withColumn("results", ads.results * 0), "ad_delivery")
-    lines = _one_csv(write_csv(df, f"{workdir}/breakdown"))
+    lines = _one_csv(write_csv(df, f"{workdir}/breakdown", single_file=True))
     assert lines[0] == ('Ad delivery,Amount spent (USD),Link clicks,Impressions,Results,'
                         'CTR (link click-through rate),Cost per results')
     assert lines[1].endswith(",inf")
@@ -40,7 +40,7 @@ def test_correlation_csv_label_column(spark, ads, workdir):
 
 def test_save_and_load_ads(spark, workdir):
     t = ad_report(spark, "/root/testdata/sf0.001")
-    p = save_ads(t, f"{workdir}/ads", partitions=4)
+    p = save_ads(t, f"{workdir}/ads")
     back = load_ads(spark, p)
     assert back.count() == t.count()
     assert back.schema == t.schema
