@@ -7,20 +7,19 @@ stream itself) tells each micro-batch which files are new, and
 ``foreachBatch`` loads exactly those files.
 
 Exactly-once: the stream's checkpoint records which files each batch owns;
-every batch writes its rows to ``<table>/batch_id=<id>`` with overwrite, so
-a batch replayed after a failure replaces its own output and nothing else.
-The file report goes to ``<table>_report`` the same way. The number of
-paths a batch collects is bounded by ``max_files_per_trigger``.
+it lives inside the table's folder, so a table and its progress cannot be
+parted. Every batch writes its rows to ``<table>/rows/batch_id=<id>`` with
+overwrite, so a batch replayed after a failure replaces its own output and
+nothing else. The file report goes to ``<table>/report`` the same way. The
+number of paths a batch collects is bounded by ``max_files_per_trigger``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from adlens.session import shared_dir
 from adlens.sources.exports import read_exports
 
 
@@ -34,7 +33,7 @@ BINARY_FILE_SCHEMA = T.StructType([
 
 
 def stream_exports(spark: SparkSession, folder: str, table_path: str,
-                   checkpoint: str | None = None, max_files_per_trigger: int = 1000,
+                   max_files_per_trigger: int = 1000,
                    available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
     """Start the stream; returns the running query.
 
@@ -42,7 +41,6 @@ def stream_exports(spark: SparkSession, folder: str, table_path: str,
     scheduled incremental load); otherwise it runs with
     ``processing_time`` triggers until stopped.
     """
-    checkpoint = checkpoint or f"{shared_dir(spark)}/adlens_stream_{abs(hash(table_path))}"
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
              .option("recursiveFileLookup", "true")
              .option("maxFilesPerTrigger", max_files_per_trigger)
@@ -53,15 +51,15 @@ def stream_exports(spark: SparkSession, folder: str, table_path: str,
         if not paths:
             return
         res = read_exports(spark, paths)
-        (res.table.withColumn("_loaded_batch", F.lit(batch_id))
-         .write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}"))
-        res.report.write.mode("overwrite").parquet(f"{table_path}_report/batch_id={batch_id}")
+        res.table.write.mode("overwrite").parquet(f"{table_path}/rows/batch_id={batch_id}")
+        res.report.write.mode("overwrite").parquet(f"{table_path}/report/batch_id={batch_id}")
 
-    w = files.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
+    w = files.writeStream.foreachBatch(load_batch).option("checkpointLocation", f"{table_path}/progress")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
     return w.start()
 
 
 def read_streamed(spark: SparkSession, table_path: str):
-    """The ad table accumulated by ``stream_exports`` (all batches)."""
-    return spark.read.parquet(table_path).drop("_loaded_batch", "batch_id")
+    """The ad table accumulated by ``stream_exports`` (all batches; a column
+    that only some batches have is null in the others)."""
+    return spark.read.option("mergeSchema", "true").parquet(f"{table_path}/rows").drop("batch_id")

@@ -1,13 +1,12 @@
-"""Golden values of the two sample exports (4 rows)."""
-
-import math
+"""Golden values of two invented exports (4 rows), computed from the rows themselves."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from adlens import operators as op
 from adlens.sources import read_exports
-from tests.fixtures import NAME_A, NAME_B, write_samples
+from tests.fixtures import (A1, A2, ADS, ADS_A, ADS_B, B1, B2, ENDS, NAME_A, NAME_B, STARTS, total, write_samples)
 
 
 @pytest.fixture(scope="module")
@@ -19,74 +18,64 @@ def ads(spark, tmp_path_factory):
 
 def test_loads_four_rows_typed(ads):
     assert ads.count() == 4
-    row = ads.where(F.col("ad_name") == "通訳派遣").first()
-    assert str(row.reporting_starts) == "2025-01-01"
-    assert str(row.reporting_ends) == "2025-07-31"
+    row = ads.where(F.col("ad_name") == B1["ad_name"]).first()
+    assert (str(row.reporting_starts), str(row.reporting_ends)) == (STARTS, ENDS)
     assert row.ends is None                      # "Ongoing"
     assert row.shop_clicks == 0.0                # blank
     assert row.quality_ranking == "-"            # kept
-    assert row.ad_set_budget == "Using campaign budget"
+    assert row.ad_set_budget == "By campaign"
     assert row.source_file == NAME_B
 
 
 def test_kpis(ads):
     k = op.kpis(ads).first()
-    assert k.total_spend == pytest.approx(8664.66)
-    assert k.total_impressions == 997176
-    assert k.total_reach == 242221
-    assert k.total_link_clicks == 47623
-    assert k.total_clicks_all == 24755
-    assert k.total_results == 47623
-    assert k.overall_ctr == pytest.approx(4.775786821985287, rel=1e-12)
-    assert k.overall_cpc == pytest.approx(0.18194275875102367, rel=1e-12)
-    assert k.overall_cpm == pytest.approx(8.68919829598787, rel=1e-12)
-    assert k.overall_cpr == pytest.approx(0.18194275875102367, rel=1e-12)
+    assert (k.total_spend, k.total_impressions, k.total_reach) == (652.5, 91500, 17200)
+    assert (k.total_link_clicks, k.total_clicks_all, k.total_results) == (1102, 1246, 960)
+    assert k.overall_ctr == pytest.approx(1102 / 91500 * 100, rel=1e-12)
+    assert k.overall_cpc == pytest.approx(652.5 / 1102, rel=1e-12)
+    assert k.overall_cpm == pytest.approx(652.5 / 91500 * 1000, rel=1e-12)
+    assert k.overall_cpr == pytest.approx(652.5 / 960, rel=1e-12)
 
 
 def test_kpi_cards_text(ads):
     c = op.kpi_cards(ads).first()
-    assert c.total_spend == "$8,664.66"
-    assert c.total_impressions == "997,176"
-    assert c.overall_ctr == "4.78%"
-    assert c.overall_cpc == "$0.18"
-    assert c.overall_cpm == "$8.69"
+    assert (c.total_spend, c.total_impressions) == ("$652.50", "91,500")
+    assert (c.overall_ctr, c.overall_cpc, c.overall_cpm) == ("1.20%", "$0.59", "$7.13")
 
 
 def test_daily_series_one_day(ads):
     s = op.daily_series(ads, "reporting_starts").collect()
-    assert [str(r.reporting_starts) for r in s] == ["2025-01-01"]
-    assert s[0].spend == pytest.approx(8664.66)
+    assert [str(r.reporting_starts) for r in s] == [STARTS]
+    assert s[0].spend == 652.5
     e = op.daily_series(ads, "reporting_ends").collect()
-    assert [str(r.reporting_ends) for r in e] == ["2025-07-31"]
+    assert [str(r.reporting_ends) for r in e] == [ENDS]
 
 
 def test_breakdown_delivery(ads):
     rows = {r.ad_delivery: r for r in op.breakdown(ads, "ad_delivery").collect()}
-    a, i = rows["active"], rows["inactive"]
-    assert (a.spend, a.link_clicks, a.impressions, a.results) == (pytest.approx(8640.45), 47553, 990853, 47553)
-    assert a.ctr_link == pytest.approx(4.799198266544079, rel=1e-12)
-    assert a.cost_per_result == pytest.approx(0.18170146993880515, rel=1e-12)
-    assert (i.spend, i.link_clicks, i.impressions, i.results) == (pytest.approx(24.21), 70, 6323, 70)
-    assert i.ctr_link == pytest.approx(1.1070694290684802, rel=1e-12)
-    assert i.cost_per_result == pytest.approx(0.34585714285714286, rel=1e-12)
+    for name, own in (("active", [A1, A2, B1]), ("inactive", [B2])):
+        r = rows[name]
+        assert (r.spend, r.link_clicks, r.impressions, r.results) == tuple(
+            total(m, own) for m in ("spend", "link_clicks", "impressions", "results"))
+        assert r.ctr_link == pytest.approx(total("link_clicks", own) / total("impressions", own) * 100, rel=1e-12)
+        assert r.cost_per_result == pytest.approx(total("spend", own) / total("results", own), rel=1e-12)
 
 
 def test_funnel(ads):
     f = op.funnel(ads).orderBy("step").collect()
-    assert [r.value for r in f] == [997176, 47623, 47623]
+    assert [r.value for r in f] == [91500, 1102, 960]
     assert f[0].pct_initial == 100.0
 
 
 def test_rank_order(ads):
-    names = [r.ad_name for r in op.rank_ads(ads).collect()]
-    assert names == ["通訳派遣", "通訳派遣 - 2025", "駐妻・駐夫訴求", "駐妻・駐夫訴求 - 2025"]
+    assert [r.ad_name for r in op.rank_ads(ads).collect()] == [a["ad_name"] for a in (B1, B2, A1, A2)]
 
 
 def test_correlation_values(ads):
     r = {(x.metric_a, x.metric_b): x.r for x in op.correlation(ads).collect()}
-    assert r[("results", "reach")] == pytest.approx(0.787308, abs=1e-6)
-    assert r[("results", "spend")] == pytest.approx(0.986848, abs=1e-6)
-    assert r[("reach", "spend")] == pytest.approx(0.876084, abs=1e-6)
+    for a, b in (("results", "reach"), ("results", "spend"), ("reach", "spend")):
+        want = np.corrcoef([x[a] for x in ADS], [x[b] for x in ADS])[0, 1]
+        assert r[(a, b)] == pytest.approx(want, abs=1e-9)
     assert r[("shop_clicks", "shop_clicks")] is None
     assert all(v is None for (a, b), v in r.items() if "shop_clicks" in (a, b))
     assert r[("spend", "results")] == r[("results", "spend")]
@@ -94,22 +83,23 @@ def test_correlation_values(ads):
 
 def test_compare_by_source_file(ads):
     rows = {r.item: r for r in op.compare_kpis(ads, "source_file").collect()}
-    a, b = rows[NAME_A], rows[NAME_B]
-    assert (a.total_spend, a.total_link_clicks, a.total_impressions) == (pytest.approx(2063.99), 4315, 304723)
-    assert (b.total_spend, b.total_link_clicks, b.total_impressions) == (pytest.approx(6600.67), 43308, 692453)
+    for name, own in ((NAME_A, ADS_A), (NAME_B, ADS_B)):
+        r = rows[name]
+        assert (r.total_spend, r.total_link_clicks, r.total_impressions) == tuple(
+            total(m, own) for m in ("spend", "link_clicks", "impressions"))
 
 
 def test_performers(ads):
     p = op.performers(ads).first()
-    assert (p.top_performer, p.bottom_performer) == ("通訳派遣", "駐妻・駐夫訴求 - 2025")
+    assert (p.top_performer, p.bottom_performer) == (B1["ad_name"], A2["ad_name"])
 
 
 def test_insight_context(ads):
     c = op.insight_context(ads).first()
-    assert (c.period_start, c.period_end) == ("2025-01-01", "2025-07-31")
-    assert c.total_spend == "$8,664.66"
-    assert c.overall_cost_per_result == "$0.18"
-    assert c.top_performer == "通訳派遣"
+    assert (c.period_start, c.period_end) == (STARTS, ENDS)
+    assert c.total_spend == "$652.50"
+    assert c.overall_cost_per_result == "$0.68"
+    assert c.top_performer == B1["ad_name"]
 
 
 def test_source_summary(ads):
@@ -118,5 +108,5 @@ def test_source_summary(ads):
 
 def test_scatter_means(ads):
     r = {x.ad_name: x for x in op.scatter(ads).collect()}
-    assert r["通訳派遣"].cpc_link == pytest.approx(0.152099)
-    assert not math.isnan(r["通訳派遣 - 2025"].ctr_link)
+    assert r[B1["ad_name"]].cpc_link == pytest.approx(240 / 900, abs=1e-6)
+    assert r[B2["ad_name"]].ctr_link == pytest.approx(12 / 1500 * 100)

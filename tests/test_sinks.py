@@ -7,7 +7,8 @@ import math
 import pytest
 
 from adlens import operators as op
-from adlens.sources import load_ads, read_exports, save_ads, write_correlation_csv, write_csv
+from adlens.sources import (load_ads, read_exports, save_ads, write_correlation_csv, write_correlation_report, write_csv,
+                            write_report)
 from adlens.sources.adapter import ad_report
 from tests.fixtures import write_samples
 
@@ -24,7 +25,7 @@ def _one_csv(folder):
 
 
 def test_breakdown_csv_has_display_headers_and_inf(spark, ads, workdir):
-    df = op.breakdown(ads.where("ad_name != '通訳派遣'").withColumn("results", ads.results * 0), "ad_delivery")
+    df = op.breakdown(ads.where("ad_name != 'Größenwahn'").withColumn("results", ads.results * 0), "ad_delivery")
     lines = _one_csv(write_csv(df, f"{workdir}/breakdown", single_file=True))
     assert lines[0] == ('Ad delivery,Amount spent (USD),Link clicks,Impressions,Results,'
                         'CTR (link click-through rate),Cost per results')
@@ -54,3 +55,38 @@ def test_csv_round_trip_through_ingestion(spark, workdir):
     assert back.exceptAll(t).count() == 0 and t.exceptAll(back).count() == 0
     k1, k2 = op.kpis(t).first(), op.kpis(back).first()
     assert k1 == k2 and not math.isnan(k1.total_spend)
+
+
+def test_number_text_is_the_shortest_plain_text(spark):
+    from adlens.sources.sinks import number_text
+    values = [12345678.0, 0.0001, 1e-05, 1.5e-7, 1e16, 1.25e300, 123456789012345.6, -0.1, 0.0, -0.0, 1e15, 9.007199254740993e15,
+              float("inf"), float("-inf"), float("nan"), None, 5e-324, 100.0, 2 / 3]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r.t for r in df.select("i", number_text(df.v).alias("t")).orderBy("i").collect()]
+    want = [None if v is None or v != v else repr(v) for v in values]
+    assert got[:16] == want[:16] and got[17:] == want[17:]
+    assert float(got[16]) == 5e-324
+
+
+def test_reports_are_named_files(spark, ads, workdir):
+    path = write_report(op.daily_series(ads), f"{workdir}/out", "daily_data.csv")
+    other = write_correlation_report(op.correlation_matrix(ads), f"{workdir}/out")
+    assert path.endswith("/out/daily_data.csv") and other.endswith("/out/correlation_matrix.csv")
+    import os
+    assert sorted(f for f in os.listdir(f"{workdir}/out") if not f.endswith(".crc")) == ["correlation_matrix.csv", "daily_data.csv"]
+    lines = open(f"{workdir}/out/daily_data.csv", encoding="utf-8").read().splitlines()
+    assert lines == ["Reporting starts,Amount spent (USD),Link clicks,Impressions,Results", "2024-03-01,652.5,1102.0,91500.0,960.0"]
+
+
+def test_one_busy_date_is_split_over_files(spark, workdir):
+    t = spark.range(60000).selectExpr("DATE'2024-01-01' AS reporting_starts", "'one ad' AS ad_name", "rand(1) AS spend",
+                                      "rand(2) AS b", "rand(3) AS c")
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        assert len(load_ads(spark, save_ads(t, f"{workdir}/busy")).inputFiles()) >= 3
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)

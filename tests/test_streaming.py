@@ -1,24 +1,24 @@
-"""Incremental ingestion: files dropped in two rounds are loaded once each."""
+"""Incremental ingestion: files dropped in rounds are loaded once each."""
 
 import os
 
 from adlens import operators as op
 from adlens.streaming import read_streamed, stream_exports
-from tests.fixtures import HEADER, NAME_A, NAME_B, SAMPLE_A, SAMPLE_B, write
+from tests.fixtures import B1, HEADER, NAME_A, NAME_B, SAMPLE_A, SAMPLE_B, cells, total, write
 
 
-def test_two_drops_loaded_once(spark, workdir):
-    drop, table, ckpt = (os.path.join(workdir, x) for x in ("drop", "table", "ckpt"))
+def test_drops_are_loaded_once_and_new_columns_kept(spark, workdir):
+    drop, table = (os.path.join(workdir, x) for x in ("drop", "table"))
     write(drop, NAME_A, [HEADER] + SAMPLE_A)
-    q = stream_exports(spark, drop, table, checkpoint=ckpt)
-    q.awaitTermination(120)
+    stream_exports(spark, drop, table).awaitTermination(120)
     assert read_streamed(spark, table).count() == 2
 
     write(drop, NAME_B, [HEADER] + SAMPLE_B)
-    q = stream_exports(spark, drop, table, checkpoint=ckpt)  # restart from the checkpoint
-    q.awaitTermination(120)
+    write(drop, "extra.csv", [HEADER + ",Note", ",".join([*cells(B1), "new"])])
+    stream_exports(spark, drop, table).awaitTermination(120)  # goes on from the recorded progress
     t = read_streamed(spark, table)
-    assert t.count() == 4
-    assert op.kpis(t).first().total_impressions == 997176
-    rep = spark.read.parquet(table + "_report")
-    assert sorted(r.source_file for r in rep.collect()) == [NAME_A, NAME_B]
+    assert t.count() == 5
+    assert op.kpis(t).first().total_impressions == total("impressions") + B1["impressions"]
+    assert sorted(str(r.Note) for r in t.collect()) == ["None"] * 4 + ["new"]
+    rep = spark.read.parquet(table + "/report")
+    assert sorted(r.source_file for r in rep.collect()) == sorted([NAME_A, NAME_B, "extra.csv"])
