@@ -230,20 +230,16 @@ _COUNTS = [f"n_{k}" for k in KINDS]
 
 def _replacer(key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             texts, counts = [], []
-            for at in range(0, batch.num_rows, 256):
-                for text, redrawn in zip(*(batch.column(i).slice(at, 256).to_pylist() for i in (0, 1))):
-                    if text is None:
-                        texts.append(None)
-                        counts.append([0] * len(KINDS))
-                        continue
-                    new, n = replace(text, key, {(r["kind"], r["entity"]): r["new"] for r in redrawn or ()})
-                    texts.append(new)
-                    counts.append(n)
-            columns = [pa.array(c, pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64()) for _ in KINDS]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string()), *columns],
-                                             names=[*batch.schema.names[2:], "new_text", *_COUNTS])
+            for text, redrawn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                new, n = (None, [0] * len(KINDS)) if text is None else replace(
+                    text, key, {(r["kind"], r["entity"]): r["new"] for r in redrawn or ()})
+                texts.append(new)
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[2:], pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in zip(*counts))],
+                names=[*batch.schema.names[2:], "new_text", *_COUNTS])
     return run
 
 
