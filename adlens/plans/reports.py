@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from adlens import operators as op
 from adlens.functions import fill_ranking, na_to_null, to_date_strict, to_number
 from adlens.functions.coerce import DATE_PATTERN, MAX_DATE, MIN_DATE, NUMBER_PATTERN
-from adlens.schema import AD_COLUMNS, MEASURES, NA_TOKENS
+from adlens.schema import AD_COLUMNS, MEASURES, NA_TOKENS, REQUIRED_COLUMNS, SNAKE
 from adlens.session import is_complete, shared_dir
 from adlens.sources.adapter import _snapshot_key, ad_report
 from adlens.sources.exports import read_exports, union_frames
 from adlens.sources.sinks import (BREAKDOWN_CSV, DAILY_CSV, RANKING_CSV, load_ads, save_ads,
                                   with_display_headers, write_csv, write_report)
+from adlens.sources.workbooks import write_workbooks
 
 # --- Fixed parameters of the registered queries (values of the test tables) --
 DATE_RANGE = ("1996-01-01", "1996-12-31")
@@ -368,6 +369,23 @@ def _ingest_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rows", load.table.agg(F.count(F.lit(1))).scalar())
 
 
+# ---------------------------------------------------------------------------
+# ingest_workbooks: daily spend per ad as workbooks written in tasks (formatted
+# blank cells right of the data), read back through the export reader
+
+
+def _ingest_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = op.spend_by_ad(ad_report(spark, sf_dir))
+    given = {"reporting_starts": F.col("reporting_starts").cast("string"), "reporting_ends": F.lit("Ongoing"),
+             "ad_name": F.col("ad_name"), "spend": F.col("spend"), "quality_ranking": F.lit("-")}
+    rows = cells.select(*[given.get(SNAKE[h], F.lit(None).cast("string")).alias(h) for h in REQUIRED_COLUMNS],
+                        F.concat("ad_name", F.lit("/"), F.month("reporting_starts").cast("string")).alias("Campaign name"))
+    folder = f"{shared_dir(spark)}/adlens_workbooks_{uuid.uuid4().hex}"
+    written = write_workbooks(rows, folder, styled_blanks=3)
+    load = read_exports(spark, [r.path for r in written.select("path").collect()])
+    return load.table.select("reporting_starts", "reporting_ends", "ad_name", "spend", "results", "quality_ranking", "campaign")
+
+
 # ---------------------------------------------------------------------------
 # sinks: what the CSV downloads and the stored table hold
 
@@ -634,6 +652,10 @@ UNION ALL SELECT '{FOREIGN_FILE}', 'unsupported', NULL, 0"""), from_tables=True)
     Report("ingest_nothing", _ingest_nothing,
            "SELECT 'missing_columns' AS status, 1 AS files, 0 AS rows UNION ALL SELECT 'unsupported', 1, 0",
            from_tables=True),
+    Report("ingest_workbooks", _ingest_workbooks,
+           _with("""SELECT day AS reporting_starts, CAST(NULL AS DATE) AS reporting_ends, ad_name, spend,
+  CAST(0 AS DOUBLE) AS results, '-' AS quality_ranking, ad_name || '/' || CAST(month(day) AS VARCHAR) AS campaign
+FROM cells""", _cells_sql("reporting_starts")), from_tables=True),
     Report("csv_daily", lambda s, d: _written(op.daily_series(ad_report(s, d)), s, DAILY_CSV),
            _with(_lines_sql("Reporting starts,Amount spent (USD),Link clicks,Impressions,Results",
                             ("reporting_starts", "spend", "link_clicks", "impressions", "results"),
