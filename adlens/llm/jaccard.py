@@ -57,13 +57,17 @@ def _miss(n, t: int):
     return n - (n * t + 99) // 100
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, digests = [], []
         for _, data, off in text_chunks(batch.column(1)):
             for s in shingles_of(data, off):
                 sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                digests.append(_digest(s))
         d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(d[:, 0], pa.int64()), pa.array(d[:, 1], pa.int64())],
@@ -117,7 +121,7 @@ def _low_shingles(t: int, extra: int):
             for _, data, off in text_chunks(batch.column(0)):
                 for s in shingles_of(data, off):
                     if n := len(s):
-                        key = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
+                        key = int.from_bytes(_digest(s)[:8], "little", signed=True)
                         buffer.add(key, s[: _miss(n, t) + 1 + n * extra // 100])
                 if buffer.size >= BUFFER:
                     yield from buffer.flush()
@@ -153,9 +157,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0)
         for at, data, off in text_chunks(batch.column(1)):
             found = [s.view(np.int64) for s in shingles_of(data, off)]
+            digests = np.frombuffer(b"".join(_digest(s) for s in found), np.int64).reshape(-1, 2)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([ids.slice(at, len(found)), lists], names=["rep", "s"])
+            yield pa.RecordBatch.from_arrays([ids.slice(at, len(found)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists],
+                                             names=["owner", "d1", "d2", "s"])
 
 
 def _similar(common: Column, n1: Column, n2: Column, t: int) -> Column:
@@ -213,20 +219,22 @@ def _postings(sets: DataFrame, t: int) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, threshold: int = THRESHOLD, extra: int = EXTRA) -> tuple[DataFrame, DataFrame]:
-    """(facts, classes): facts (doc_id, n, d1, d2) of every row; classes (n, d1, d2, rep, cls) of every set."""
+    """(facts, classes): facts (doc_id, n, d1, d2) of every row; classes (n, d1, d2, owner, cls) of every
+    set, with the least doc_id of the set and of its class."""
     t = threshold
     facts = staged(docs.mapInArrow(_facts, "doc_id long, n long, d1 long, d2 long"), "jac_facts")
+    # one row a distinct set; ``rep`` numbers it (written, so the numbers stay), ``owner`` is a document that has it
     reps = staged(facts.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(
-        F.min("doc_id").alias("rep")), "jac_reps")
+        F.min("doc_id").alias("owner")).withColumn("rep", F.monotonically_increasing_id()), "jac_reps")
 
     # 1. shells
     low = _live(docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_low_shingles(t, extra), _SENT_SQL))
     least = F.expr(f"1 + ((n * {t} + 99) div 100) * {extra} div 100")
     near = staged(reps.join(low, F.col("d1") == F.col("key")).where(F.col("live") >= least)
-                  .select(F.col("rep").alias("doc_id"), "d1").distinct(), "jac_near")
-    some = docs.join(near.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
-    sets = staged(some.mapInArrow(_sets, "rep long, s array<long>").join(
-        reps.select("rep", "n"), "rep").where("size(s) = n").drop("n").dropDuplicates(["rep"]), "jac_sets")
+                  .select(F.col("owner").alias("doc_id")).distinct(), "jac_near")
+    some = docs.join(near.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
+    sets = staged(some.mapInArrow(_sets, "owner long, d1 long, d2 long, s array<long>").join(
+        reps, ["owner", "d1", "d2"]).select("rep", "s").dropDuplicates(["rep"]), "jac_sets")
     close = _live(sets.mapInArrow(_all_shingles, _SENT_SQL))
     sets = staged(sets.join(close, F.col("rep") == F.col("key")).where(
         F.expr(f"live >= (size(s) * {t} + 99) div 100")).select("rep", "s"), "jac_sets")
@@ -270,8 +278,10 @@ def classes_of(docs: DataFrame, threshold: int = THRESHOLD, extra: int = EXTRA)
                     & (F.col("n") - F.col("place") >= needed) & (F.col("ny") - F.col("py") >= needed))
              .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
     classes.link(_measure(staged(pairs, "jac_pairs"), sets).where(similar))
-    return facts, reps.join(classes.table.select("rep", "cls"), "rep", "left").select(
-        "n", "d1", "d2", "rep", F.coalesce("cls", "rep").alias("cls"))
+    named = staged(reps.join(classes.table.select("rep", "cls"), "rep", "left").select(
+        "n", "d1", "d2", "owner", F.coalesce("cls", "rep").alias("cls")), "jac_named")
+    least = staged(named.groupBy("cls").agg(F.min("owner").alias("least")), "jac_least")
+    return facts, named.join(least, "cls").select("n", "d1", "d2", "owner", F.col("least").alias("cls"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -279,13 +289,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     facts, classes = classes_of(narrow(docs, doc_id=id_col, text=text_col), threshold)
     # rows that repeat a doc_id with another text tie their classes together
     owners = facts.where("doc_id IS NOT NULL AND n > 0").join(classes, ["n", "d1", "d2"])
-    ties = owners.where("doc_id <> cls").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b"))
+    ties = owners.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b"))
     tied = components(ties.where("a <> b"), "a", "b")
     classes = classes.join(tied, F.col("cls") == F.col("node"), "left").withColumn("cls", F.coalesce("root", "cls"))
-    classes = staged(classes.select("n", "d1", "d2", "rep", "cls"), "jac_final")
+    classes = staged(classes.select("n", "d1", "d2", "owner", "cls"), "jac_final")
     return facts.join(classes, ["n", "d1", "d2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("set_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("owner", "doc_id")).alias("set_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("cls", "doc_id")).alias("component_id"))
 
 

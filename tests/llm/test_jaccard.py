@@ -51,7 +51,10 @@ def run(spark, texts):
 
 
 def test_awkward(spark):
-    texts = AWKWARD + [(20, "one two"), (21, "One Two"), (22, words(30000, 9).upper())]
+    # a repeated id ties its texts' classes together, also where they are equally long
+    texts = AWKWARD + [(60, words(50, 1)), (60, words(50, 2)), (58, words(50, 2)), (61, words(50, 1)), (61, words(50, 3)),
+                       (59, words(50, 3))]
+    texts += [(20, "one two"), (21, "One Two"), (22, words(30000, 9).upper())]
     assert run(spark, texts) == brute(texts)
 
 
