@@ -119,9 +119,40 @@ def test_stacked_bands(spark):
         dict(reporting_starts=D(2025, 1, 1), ad_name="a", spend=1.0),
         dict(reporting_starts=D(2025, 1, 2), ad_name="b", spend=4.0),
     ])
-    got = sorted((str(r.reporting_starts), r.ad_name, r.y0, r.y1) for r in op.stacked(df).collect())
-    assert got == [("2025-01-01", "a", 0.0, 1.0), ("2025-01-01", "b", 1.0, 3.0),
-                   ("2025-01-02", "a", 0.0, 0.0), ("2025-01-02", "b", 0.0, 4.0)]
+
+    def bands(**options):
+        return sorted((str(r.reporting_starts), r.ad_name, r.y0, r.y1) for r in op.stacked(df, **options).collect())
+    dense = [("2025-01-01", "a", 0.0, 1.0), ("2025-01-01", "b", 1.0, 3.0),
+             ("2025-01-02", "a", 0.0, 0.0), ("2025-01-02", "b", 0.0, 4.0)]
+    assert bands(dense=True) == dense
+    assert bands() == [b for b in dense if b[2:] != (0.0, 0.0)]  # the same bands without the empty ones
+    assert bands(top_n_ads=1) == [("2025-01-01", "b", 0.0, 2.0), ("2025-01-02", "b", 0.0, 4.0)]
+
+
+def test_infinite_and_huge_amounts_are_not_lost(spark):
+    inf = float("inf")
+    assert op.kpis(frame(spark, [dict(spend=inf), dict(spend=25.0)])).first().total_spend == inf
+    assert op.kpis(frame(spark, [dict(spend=1e20), dict(spend=25.0)])).first().total_spend == 1e20
+    assert op.kpis(frame(spark, [dict(spend=0.1)] * 10)).first().total_spend == 1.0
+    assert op.kpis(frame(spark, [dict(spend=None)])).first().total_spend == 0.0
+    rows = [dict(spend=inf, ad_delivery="a", ad_name="x", reporting_starts=D(2025, 1, 1)),
+            dict(spend=1.0, ad_delivery="b", ad_name="y", reporting_starts=D(2025, 1, 1))]
+    assert {r.ad_delivery: r.spend for r in op.spend_share(frame(spark, rows)).collect()} == {"a": inf, "b": 1.0}
+    assert op.average_spend_per_day(frame(spark, rows)).first().avg_spend_per_day == inf
+    assert {r.ad_name: r.y1 for r in op.stacked(frame(spark, rows)).collect()} == {"x": inf, "y": inf}
+
+
+def test_value_tables_filter_like_lists(spark):
+    df = frame(spark, [dict(ad_name="a", source_file="f"), dict(ad_name="b", source_file="f"), dict(ad_name=None, source_file="g")])
+    vals = spark.createDataFrame([("a",), ("a",), (None,)], "v string")
+    none = vals.where("false")
+    for ads, kept in ((vals, 1), (none, 3), (["a"], 1), ([], 3)):
+        assert op.filter_ads(df, date_range=None, ads=ads).count() == kept
+        s = op.filter_summary(df, date_range=None, ads=ads).first()
+        assert (s.kept_rows, s.total_rows) == (kept, 3)
+    both = op.filter_summary(df, date_range=None, ads=vals, source_files=["g"]).first()
+    assert (both.kept_rows, both.total_rows) == (0, 3)
+    assert op.filter_ads(df, date_range=None, ads=vals).columns == df.columns
 
 
 @given(st.lists(st.tuples(st.sampled_from(["x", "y", "z"]),
