@@ -20,6 +20,10 @@ string. Matches never cross texts; strings are judged on the input.
    this order the previous smaller position of a window with a common prefix of
    at least ``length`` is its left neighbour, the next larger its right one: its
    longest previous factor reaches ``length`` iff it ties with the left one.
+   A shard of more than ``SHARD_BYTES`` of different segments (a short notice in
+   many texts, with other bytes around it in each) is not gathered: its windows
+   are dealt by their own 128 bits of hashes, counted map-side, and only those
+   that occur twice come back to their texts.
 4. *Spans.* Matching starts become byte intervals of their texts.
 
 Defined cases: null and empty texts have no bytes and nothing removed; texts
@@ -43,7 +47,8 @@ from adlens.llm.common import narrow, release, staged
 from adlens.llm.shingle import mix, text_chunks
 
 LENGTH, GRAM = 400, 64
-SHARD_BYTES = 2 << 20  # bytes put in suffix order at a time (a larger shard is taken whole)
+SHARD_BYTES = 2 << 20  # bytes put in suffix order at a time (a larger shard is dealt by its windows)
+WINDOWS = 1 << 19  # windows handed on at a time
 
 _rng = np.random.default_rng(977)
 _BYTES = [_rng.integers(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1) for _ in range(2)]
@@ -126,12 +131,12 @@ def _segments(length: int, gram: int):
 
 
 _BODY = pa.schema([("v", pa.int64()), ("doc", pa.int64()), ("tkey", pa.int64()), ("s0", pa.int32()),
-                   ("cnt", pa.int32()), ("m", pa.int64()), ("body", pa.binary())])
-_BODY_SQL = "v long, doc long, tkey long, s0 int, cnt int, m long, body binary"
+                   ("cnt", pa.int32()), ("m", pa.int64()), ("large", pa.bool_()), ("body", pa.binary())])
+_BODY_SQL = "v long, doc long, tkey long, s0 int, cnt int, m long, large boolean, body binary"
 
 
 def _cut_bodies(length: int):
-    """From (doc, tkey, text, wanted = array of (v, s0, cnt, m)) the bytes of each wanted segment."""
+    """From (doc, tkey, text, wanted = array of (v, s0, cnt, m, large)) the bytes of each wanted segment."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
@@ -139,7 +144,8 @@ def _cut_bodies(length: int):
                 part = batch.slice(at, 200)
                 for doc, tkey, text, wanted in zip(*(c.to_pylist() for c in part.columns)):
                     data = text.encode()
-                    rows += [(w["v"], doc, tkey, w["s0"], w["cnt"], w["m"], data[w["s0"]: w["s0"] + w["cnt"] + length - 1])
+                    rows += [(w["v"], doc, tkey, w["s0"], w["cnt"], w["m"], w["large"],
+                              data[w["s0"]: w["s0"] + w["cnt"] + length - 1])
                              for w in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BODY)], schema=_BODY)
     return run
@@ -183,16 +189,69 @@ _SPAN = pa.schema([("doc", pa.int64()), ("tkey", pa.int64()), ("a", pa.int64()),
 _SPAN_SQL = "doc long, tkey long, a long, b long"
 
 
-def _shard(table: pa.Table, length: int, first_kept: bool) -> pa.RecordBatch:
-    """Byte intervals that the segments of some complete shards lose (one copy of each segment)."""
-    bodies = table["body"].combine_chunks()
+def _laid(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all bodies, their offsets, and of every window: its segment, its place in it, its start in the bytes)."""
+    bodies = table["body"].combine_chunks() if isinstance(table, pa.Table) else table["body"]
     off = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset: bodies.offset + len(bodies) + 1].astype(np.int64)
     data = np.frombuffer(bodies.buffers()[2], np.uint8)[off[0]: off[-1]]
     off = off - off[0]
-    cnt, s0, m = (table[c].to_numpy() for c in ("cnt", "s0", "m"))
+    cnt = table["cnt"].to_numpy()
     owner = np.repeat(np.arange(len(cnt)), cnt)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-    starts = off[owner] + within
+    return data, off, owner, within, off[owner] + within
+
+
+_WINDOW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("tkey", pa.int64()),
+                     ("s0", pa.int32()), ("at", pa.int64()), ("m", pa.int64())])
+_WINDOW_SQL = "h1 long, h2 long, doc long, tkey long, s0 int, at long, m long"
+
+
+def _windows(length: int):
+    """128 bits of hashes and the place of each window of the segments."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            data, _, owner, within, starts = _laid(part)
+            prefixes = [_Prefix(data, which) for which in (0, 1)]
+            doc, tkey, s0, m = (part[c].to_numpy() for c in ("doc", "tkey", "s0", "m"))
+            for i in range(0, len(starts), WINDOWS):
+                o, a = owner[i: i + WINDOWS], starts[i: i + WINDOWS]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x.of(a, a + length).view(np.int64)) for x in prefixes), pa.array(doc[o]), pa.array(tkey[o]),
+                     pa.array(s0[o]), pa.array(s0[o].astype(np.int64) + within[i: i + WINDOWS]), pa.array(m[o])], schema=_WINDOW)
+    return run
+
+
+def _joined(length: int):
+    """From (doc, tkey, places = starts of windows) their byte intervals, neighbours as one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, tkey, places in zip(*(c for c in batch.columns)):
+                at = np.sort(places.values.to_numpy())
+                cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+                n = len(cut)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(n, doc.as_py())), pa.array(np.full(n, tkey.as_py())), pa.array(at[cut]),
+                    pa.array(at[np.append(cut[1:] - 1, len(at) - 1)] + length)], schema=_SPAN)
+    return run
+
+
+def _by_window(bodies: DataFrame, length: int, first_kept: bool) -> DataFrame:
+    """Byte intervals that segments of large shards lose (one copy of each segment); no shard is gathered."""
+    windows = bodies.mapInArrow(_windows(length), _WINDOW_SQL)
+    place = F.struct("doc", "tkey", "at")
+    facts = [F.count(F.lit(1)).alias("n")] + ([F.min(place).alias("earliest")] if first_kept else [])
+    several = staged(windows.groupBy("h1", "h2").agg(*facts).where("n > 1").drop("n"), "suffix_windows")
+    hits = windows.join(several, ["h1", "h2"])
+    # all copies of a segment that occurs several times are covered anyway; the first one may stay
+    hits = hits.where(place != F.col("earliest") if first_kept else F.col("m") == 1)
+    return hits.groupBy("doc", "tkey", "s0").agg(F.collect_list("at").alias("places")).select(
+        "doc", "tkey", "places").mapInArrow(_joined(length), _SPAN_SQL)
+
+
+def _shard(table: pa.Table, length: int, first_kept: bool) -> pa.RecordBatch:
+    """Byte intervals that the segments of some complete shards lose (one copy of each segment)."""
+    data, off, owner, within, starts = _laid(table)
+    cnt, s0, m = (table[c].to_numpy() for c in ("cnt", "s0", "m"))
     # segments without any window that occurs twice here need no order
     h = _Prefix(data, 0).of(starts, starts + length)
     _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
@@ -260,17 +319,21 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str =
         F.count(F.lit(1)).alias("m"), F.min(F.struct("doc", "tkey", "s0")).alias("first"), F.max("inner").alias("inner")),
         "suffix_groups")
     release(spark)
-    kinds = groups.groupBy("v").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("v", F.lit(True).alias("mixed"))
-    wanted = (groups.join(kinds, "v", "left").where("mixed OR inner")
-              .select("first.doc", "first.tkey", F.struct("v", "first.s0", "cnt", "m").alias("w"))
+    size = F.sum(F.col("cnt").cast("long") + (length - 1))
+    kinds = groups.groupBy("v").agg(F.count(F.lit(1)).alias("k"), (size > SHARD_BYTES).alias("large"), F.max("inner").alias("any"))
+    # written, so that the join finds two plain shuffles and can split the rows of a frequent v
+    kinds = staged(kinds.where("k > 1 OR any").select("v", (F.col("k") > 1).alias("mixed"), "large"), "suffix_kinds")
+    wanted = (groups.join(kinds, "v").where("mixed OR inner")
+              .select("first.doc", "first.tkey", F.struct("v", "first.s0", "cnt", "m", "large").alias("w"))
               .groupBy("doc", "tkey").agg(F.collect_list("w").alias("wanted")))
     texts = docs.select("doc", "tkey", "text").join(staged(wanted, "suffix_wanted").hint("merge"), ["doc", "tkey"])
     bodies = staged(texts.mapInArrow(_cut_bodies(length), _BODY_SQL), "suffix_bodies")
     release(spark)
     # equal rows would bring a segment's bytes twice
     bodies = bodies.dropDuplicates(["v", "doc", "tkey", "s0"])
-    partial = staged(bodies.repartition("v").sortWithinPartitions("v").mapInArrow(
-        _shards(length, first_kept), _SPAN_SQL), "suffix_partial")
+    small = bodies.where("NOT large").repartition("v").sortWithinPartitions("v").mapInArrow(
+        _shards(length, first_kept), _SPAN_SQL)
+    partial = staged(small.union(_by_window(bodies.where("large"), length, first_kept)), "suffix_partial")
     several = groups.where("m > 1").select(*same, "first")
     whole = live.join(several, same)
     if first_kept:

@@ -4,8 +4,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from adlens.llm import suffix
+from adlens.llm.common import staged
 from tests.llm.fixtures_llm import AWKWARD, docs, words
 
 
@@ -77,5 +79,20 @@ def test_suffix_ties_order_windows():
     assert list(rank) == [sorted(set(windows)).index(w) for w in windows]
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_notice_in_many_texts_is_gathered_nowhere(spark, keep, monkeypatch):
+    most, seen = 30_000, {}
+    monkeypatch.setattr(suffix, "SHARD_BYTES", most)
+    monkeypatch.setattr(suffix, "staged", lambda df, name: seen.setdefault(name, staged(df, name)))
+    notice, long = words(60, 1)[:250], words(120, 2)[:450]
+    texts = [(i, f"{words(40, 500 + i)} {notice if i % 3 else long} {words(40, 9000 + i)}") for i in range(400)]
+    texts += [(400, texts[1][1]), (401, texts[2][1][50:]), (402, texts[3][1]), (402, texts[3][1]), (403, "ab" * 20_000)]
+    assert run(spark, texts, keep=keep) == brute(texts, 400, keep)
+    bodies = seen["suffix_bodies"]
+    if "large" in bodies.columns:
+        bodies = bodies.where("NOT large")
+    assert max((r.n for r in bodies.groupBy("v").agg(F.sum(F.length("body")).alias("n")).collect()), default=0) <= most
+
+
 def test_empty(spark):
     assert suffix.dedup(docs(spark, [])).count() == 0
