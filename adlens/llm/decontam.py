@@ -17,7 +17,9 @@ only if their measured size allows, else it shuffles both sides). Nothing is
 paired that shares no sketch hash.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text with fewer than
-five words has its whole word sequence as its one shingle.
+five words has its whole word sequence as its one shingle. So an item of fewer
+than five words is found only in a document that consists of just these words:
+it cannot be found inside a longer document, here or in the query's SQL.
 
 Defined cases: null or empty texts and items have no shingles and match
 nothing; rows with a null id take no part; rows that repeat a doc_id (or
