@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import decontam, jaccard, linededup, packing, quality, secrets, suffix, surrogate, topk, warc
+from adlens.llm import conversations, decontam, jaccard, linededup, packing, quality, secrets, suffix, surrogate, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,14 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogate.anonymise(_table(spark, sf_dir, "documents")).select("doc_id", "text", "pii.*")
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with every damaged conversation, and its cheapest repair."""
+    rows = _table(spark, sf_dir, "conversations")
+    return conversations.digest(conversations.damaged(rows), rows.select("conv_id")).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {
+    "op13_conversations": op13_conversations,
     "op4_surrogates": op4_surrogates,
     "op1_quality": op1_quality,
     "op3_suffix": op3_suffix,
@@ -86,4 +93,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_topk": topk.ORACLE,
     "op2_jaccard": jaccard.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op13_conversations": conversations.ORACLE,
 }
