@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import conversations, decontam, jaccard, linededup, packing, quality, secrets, suffix, surrogate, topk, warc
+from adlens.llm import collocations, conversations, decontam, hamming, jaccard, linededup, packing, quality, secrets, suffix, surrogate, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,19 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(conversations.damaged(rows), rows.select("conv_id")).withColumnRenamed("conv", "conv_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of two to four words of every language."""
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return hamming.join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op12_near_duplicates": op12_near_duplicates,
+    "op11_collocations": op11_collocations,
     "op13_conversations": op13_conversations,
     "op4_surrogates": op4_surrogates,
     "op1_quality": op1_quality,
@@ -94,4 +106,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_jaccard": jaccard.ORACLE,
     "op6_warc": warc.ORACLE,
     "op13_conversations": conversations.ORACLE,
+    "op12_near_duplicates": hamming.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
