@@ -13,8 +13,10 @@ in machine-local folders.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Jobs run within hand rows to Python tasks in batches of at most about ``size`` bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def partitions_for(spark: SparkSession, df_rows: int, rows_per_partition: int) -> int:
     """Number of shards so that each holds about ``rows_per_partition`` rows."""
     return max(1, -(-df_rows // rows_per_partition))
