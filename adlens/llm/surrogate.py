@@ -5,17 +5,21 @@ account and social-security numbers, names after a title) are replaced by
 surrogates that a key and the entity alone determine, so every mention of an
 entity anywhere in the corpus gets the same surrogate (coreference):
 
-* numbers keep length, layout and country or issuer prefix, cards also whether
-  their check digit holds, addresses stay valid;
-* mail addresses keep the shape of their local part and the top-level domain,
-  and addresses of one domain share the surrogate domain;
+* numbers keep length, layout and country or issuer prefix, cards and account numbers also whether
+  their check digits hold, addresses stay valid;
+* mail addresses keep the shape of their local part and the top-level domain;
+  a domain is an entity of its own, so addresses of one domain share the surrogate domain
+  and different domains stay different;
 * names are replaced word by word, so that a surname alone is recognisable as the
-  one of a full name; script, case and length class stay, given names end as the
-  title's gender suggests.
+  one of a full name, also where it is repeated in the text without a title; script, case and
+  length class stay, given names end as the title's gender suggests.
 
 Distinctness is checked over the whole corpus: distinct entities of a kind must
 have distinct surrogates, and no surrogate may be a real entity. Losers of a
-collision (all but the smallest entity) draw again until there are none. Only
+collision (all but the smallest entity) draw again until there are none; from the 16th
+draw on, surrogates grow (numbers by digits, network addresses to their long form), so that a
+space which the corpus has used up does not keep them from ending, and ``ROUNDS`` draws without an end are an
+error. Finding entities takes time in proportion to the text, whatever it holds. Only
 entities, never texts, are shuffled for that; a text's surrogates are generated in
 its task, and the few redrawn ones reach the texts that hold them by a join on a
 hash of the text.
@@ -40,6 +44,8 @@ from pyspark.sql import types as T
 from adlens.llm.common import narrow, staged
 
 KEY = "corpus-surrogates"
+SHORT = 16  # draws that keep an entity's length
+ROUNDS = 200
 # --- Fixed values: kinds of entities in the order of the result -----------------
 KINDS = ("email", "ip", "iban", "ssn", "card", "phone", "name")
 FEMALE = ("mrs", "ms", "miss", "frau", "mme", "madame", "señora", "sra", "г-жа")
@@ -47,11 +53,11 @@ MALE = ("mr", "herr", "monsieur", "señor", "sr", "г-н")
 # --- end of fixed values ---------------------------------------------------------
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _FIND = re.compile(
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
+    r"(?<![A-Za-z0-9._%+-])[._%+-]*(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     rf"|(?<![\w.])(?P<ip>(?:{_OCTET}\.){{3}}{_OCTET})(?![\w]|\.\d)"
     r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?!\w)"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?<![\w.+-])(?P<card>[3-6]\d{3}(?:[\x20-]?\d{4}){2}[\x20-]?\d{1,7})(?![\w-])"
+    r"|(?<![\w.+-])(?P<card>(?:[3-6]\d|2[2-7])\d{2}(?:[\x20-]?\d{4}){2}[\x20-]?\d{1,7})(?![\w-])"
     r"|(?<![\w.-])(?P<phone>\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)|\d{1,4})(?:[\x20.-]?\d{2,4}){1,4}"
     r"|\(\d{3}\)\x20?\d{3}[\x20.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"
     r"|(?<!\w)(?P<title>Mrs?\.?|Ms\.?|Miss|Herr|Frau|Mme\.?|Madame|Monsieur|Señora?|Sra?\.|г-жа|г-н)"
@@ -90,6 +96,11 @@ def _check_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def _account_check(country: str, body: str) -> str:
+    """The two check digits of an account number: the whole, rearranged as a number, is 1 modulo 97."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
+
+
 def canonical(kind: str, found: str) -> str:
     """What makes two mentions the same entity."""
     if kind == "email":
@@ -103,37 +114,45 @@ def canonical(kind: str, found: str) -> str:
 
 
 def surrogate(key: str, kind: str, entity: str, attempt: int) -> str:
-    """The ``attempt``-th surrogate of a canonical entity."""
+    """The ``attempt``-th surrogate of a canonical entity (of a mail address: its local part, the domain unchanged)."""
     draw = _Draw(key, kind, entity, str(attempt))
+    more = "".join(str(draw.below(10)) for _ in range(2 + attempt // SHORT)) if attempt >= SHORT else ""  # short shapes run out
     if kind == "email":
         local, _, domain = entity.partition("@")
-        name, _, top = domain.rpartition(".")
-        extra = "" if attempt < 16 else str(draw.below(10 ** 6))  # short shapes run out
-        return f"{draw.like(local)}{extra}@{_Draw(key, 'domain', domain).like(name)}.{top}"
+        return f"{draw.like(local)}{more}@{domain}"
+    if kind == "domain":
+        name, _, top = entity.rpartition(".")
+        return f"{draw.like(name)}{more}.{top}"
     if kind == "ip":
+        if more:
+            return "2001:db8:" + ":".join(f"{draw.below(1 << 16):x}" for _ in range(6))
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "card":
-        body = entity[0] + draw.like(entity[1:])
+        body = entity[0] + draw.like(entity[1:]) + more
         return body[:-1] + _check_digit(body[:-1]) if _check_digit(entity[:-1]) == entity[-1] else body
     if kind == "iban":
-        return entity[:2] + draw.like(entity[2:])
+        country, check, body = entity[:2], entity[2:4], draw.like(entity[4:]) + more
+        valid = _account_check(country, entity[4:]) == check
+        return country + (_account_check(country, body) if valid else draw.like(check)) + body
     if kind == "phone":
-        keep = 0 if len(entity) == 10 else min(2, len(entity) - 6)
-        return entity[:keep] + draw.like(entity[keep:])
+        keep = 0 if len(entity) == 10 else max(0, min(2, len(entity) - 6))
+        return entity[:keep] + draw.like(entity[keep:]) + more
     if kind in ("surname", "female", "male", "given"):
         onsets, vowels, soft, hard = _CYRILLIC if re.search("[а-яё]", entity) else _LATIN
-        size = max(2, (len(entity) + 1) // 3) + attempt // 16
+        size = max(2, (len(entity) + 1) // 3) + attempt // SHORT
         word = "".join(onsets[draw.below(len(onsets))] + vowels[draw.below(len(vowels))] for _ in range(size))
         return word[:-1] + soft if kind == "female" else word + hard if kind == "male" else word
-    return draw.like(entity)
+    return draw.like(entity) + more
 
 
 def _laid_out(found: str, new: str) -> str:
-    """``new`` in the layout of ``found``; digits that ``new`` lacks in front stay."""
+    """``new`` in the layout of ``found``; digits that ``new`` lacks in front stay, those it has more follow the last."""
     places = [i for i, c in enumerate(found) if c.isalnum()]
-    out = list(found)
+    out, more = list(found), new[len(places):]
+    new = new[: len(places)]
     for i, c in zip(places[len(places) - len(new):], new):
         out[i] = c
+    out.insert(places[-1] + 1, more)
     return "".join(out)
 
 
@@ -145,18 +164,40 @@ def _name_parts(title: str, name: str) -> list[tuple[str, str]]:
     return [(given, w) for w in words[:-1]] + [("surname", words[-1])]
 
 
+def _kept(kind: str, canon: str) -> bool:
+    """Whether a find is one of its kind after all."""
+    if kind != "card":
+        return True
+    if canon[0] == "2":  # an issuer range that other numbers fall into as well
+        return 2221 <= int(canon[:4]) <= 2720 and len(canon) == 16 and _check_digit(canon[:-1]) == canon[-1]
+    return 13 <= len(canon) <= 19
+
+
 def entities(text: str) -> Iterator[tuple[str, int, int, list[tuple[str, str]]]]:
     """(kind, start, end, parts) of the entities of a text; parts are (kind, canonical) to be replaced."""
     if not _MAY.search(text):
         return
+    found, named = [], {}
     for m in _FIND.finditer(text):
         kind = m.lastgroup
         if kind == "name":
-            yield kind, m.start("name"), m.end("name"), _name_parts(m["title"], m["name"])
-        elif kind == "card" and not 13 <= len(canonical(kind, m[0])) <= 19:
+            parts = _name_parts(m["title"], m["name"])
+            named.update(zip(m["name"].split(" "), parts))
+            found.append((kind, m.start("name"), m.end("name"), parts))
             continue
-        else:
-            yield kind, m.start(), m.end(), [(kind, canonical(kind, m[0]))]
+        start, end = m.span(kind)
+        canon = canonical(kind, text[start:end])
+        if _kept(kind, canon):
+            parts = [(kind, canon)] + ([("domain", canon.partition("@")[2])] if kind == "email" else [])
+            found.append((kind, start, end, parts))
+    if named:  # their words without a title, where nothing else was found
+        gaps, at = [], 0
+        again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(named, key=len, reverse=True))) + r")(?!\w)")
+        for _, start, end, _ in [*found, ("", len(text), len(text), [])]:
+            gaps += [("name", w.start(), w.end(), [named[w[0]]]) for w in again.finditer(text, at, start)]
+            at = end
+        found = sorted(found + gaps, key=lambda f: f[1])
+    yield from found
 
 
 def _cased(word: str, new: str) -> str:
@@ -171,8 +212,11 @@ def replace(text: str, key: str, redrawn: dict[tuple[str, str], str]) -> tuple[s
         new = [redrawn.get(p) or surrogate(key, *p, 0) for p in parts]
         if kind == "name":
             done = " ".join(map(_cased, found.split(" "), new))
-        elif kind in ("email", "ip"):
-            done = new[0].upper() if found.isupper() else new[0]
+        elif kind == "email":
+            done = f"{new[0].partition('@')[0]}@{new[1]}"
+            done = done.upper() if found.isupper() else done
+        elif kind == "ip":
+            done = new[0]
         else:
             done = _laid_out(found, new[0])
         out += [text[at:start], done]
@@ -213,7 +257,7 @@ def mapping(found: DataFrame, key: str = KEY) -> DataFrame:
     all_ = staged(found.select("kind", "entity").distinct().withColumn("attempt", F.lit(0).cast("int"))
                   .mapInArrow(_drawn(key), shape), "pii_entities")
     real = all_.select("kind", F.col("entity").alias("new")).withColumn("real", F.lit(True))
-    while True:
+    for _ in range(ROUNDS):
         # of those that drew the same, the one that has drawn least often, then the smallest, keeps it
         taken = all_.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "entity")).alias("winner"))
         clash = taken.join(real, ["kind", "new"], "left").where("n > 1 OR real")
@@ -223,6 +267,7 @@ def mapping(found: DataFrame, key: str = KEY) -> DataFrame:
         if losers.isEmpty():
             return all_
         all_ = staged(all_.join(losers, ["kind", "entity"], "left_anti").unionByName(losers), "pii_entities")
+    raise RuntimeError(f"surrogates still collide after {ROUNDS} draws")
 
 
 _COUNTS = [f"n_{k}" for k in KINDS]

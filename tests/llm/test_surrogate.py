@@ -72,6 +72,78 @@ def _drawn_by(draw):
     return _drawn
 
 
+def test_a_full_space_ends(spark):
+    # every number that the two last digits could give is taken
+    texts = [(i, f"call +4 9 1{i:02d} or 10.0.0.{i % 7}") for i in range(100)]
+    out = run(spark, texts).collect()
+    found = [re.search(r"call \+([\d ]+) or", r.text)[1].replace(" ", "") for r in out]
+    assert len(set(found)) == 100 and not set(found) & {f"491{i:02d}" for i in range(100)}
+    assert surrogate.surrogate("k", "ssn", "123456789", 40).isdigit()
+    assert len({surrogate.surrogate("k", "ip", "1.2.3.4", n) for n in range(40)}) == 40
+
+
+def test_rounds_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(surrogate, "ROUNDS", 3)
+    monkeypatch.setattr(surrogate, "_drawn", _drawn_by(lambda *_: "always the same"))
+    import pytest
+    with pytest.raises(RuntimeError, match="still collide"):
+        surrogate.mapping(spark.createDataFrame([("ip", "a"), ("ip", "b")], "kind string, entity string"))
+
+
+def test_long_tokens_take_linear_time():
+    import time
+    for token in ("a" * 10 ** 6, "1" * 10 ** 6, "a." * 500_000, "._" * 500_000 + "@", "a@" * 400_000, "A1" * 500_000,
+                  "+1 " * 300_000, "x@" + "y." * 400_000, "DE89 " * 200_000):
+        start = time.time()
+        list(surrogate.entities(token + " 123 Mr"))
+        assert time.time() - start < 2, token[:4]
+
+
+def test_account_numbers_stay_valid():
+    for n, iban in enumerate(["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606"]):
+        new = surrogate.surrogate("k", "iban", iban, n)
+        assert new != iban and new[:2] == iban[:2] and len(new) == len(iban)
+        assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+
+
+def test_domains_stay_distinct(spark):
+    texts = [(i, f"m{i % 3}@{a}{b}.io") for i, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "wxyz")] * 2
+    got = {}
+    for r, (i, t) in zip(sorted(run(spark, texts).collect(), key=lambda r: r.doc_id), sorted(texts)):
+        got.setdefault(t.split("@")[1], set()).add(r.text.split("@")[1])
+    assert all(len(v) == 1 for v in got.values()) and len(set.union(*got.values())) == 32
+    assert not set.union(*got.values()) & set(got)
+
+
+def test_cards_of_the_second_series_and_untitled_names(spark):
+    good = "222300004841001" + surrogate._check_digit("222300004841001")
+    text = f"{good} but 2223000048410011 and 2999000048410010; Mrs. Ada Stone said Stone is Ada's, not Stonehenge"
+    [r] = run(spark, [(1, text)]).collect()
+    assert good not in r.text and "2999000048410010" in r.text and "Stone " not in r.text and "Stonehenge" in r.text
+    name = re.search(r"Mrs\. (\w+) (\w+) said (\w+) is (\w+)'s", r.text)
+    assert name[2] == name[3] and name[1] == name[4] and r.pii.n_name == 3
+
+
+def test_replacement_by_brute_force(spark):
+    """Texts put together from known entities: each is replaced by one surrogate everywhere, the rest is unchanged."""
+    import random
+    r = random.Random(6)
+    given = {"mail": [f"u{i}@h{i % 5}.org" for i in range(30)], "ip": [f"10.1.{i}.7" for i in range(30)],
+             "ssn": [f"{100 + i}-22-3333" for i in range(30)], "phone": [f"+49 30 1234 {1000 + i}" for i in range(30)]}
+    pool, plain = [x for v in given.values() for x in v], ["word", "12", "v1.2", "e-mail", "été,", "\n"]
+    pieces = [[r.choice(pool if r.random() < .3 else plain) for _ in range(40)] for _ in range(60)]
+    out = {x.doc_id: x.text.split(" ; ") for x in run(spark, [(i, " ; ".join(p)) for i, p in enumerate(pieces)]).collect()}
+    to = {}
+    for i, p in enumerate(pieces):
+        assert len(p) == len(out[i])
+        for old, new in zip(p, out[i]):
+            if old in plain:
+                assert new == old
+            else:
+                assert to.setdefault(old, new) == new and re.sub(r"\w", "", new) == re.sub(r"\w", "", old)
+    assert len(set(to.values())) == len(to) and not set(to.values()) & set(pool)
+
+
 def test_awkward(spark):
     d = docs(spark, AWKWARD)
     got = run(spark, AWKWARD)
