@@ -51,9 +51,10 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What exact substring dedup leaves of every document (all copies removed)."""
-    return suffix.dedup(_table(spark, sf_dir, "documents"), keep="none").select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """What exact substring dedup leaves of every document (all copies removed), and its words in passages of over 50
+    words that occur elsewhere too."""
+    return suffix.dedup(_table(spark, sf_dir, "documents"), keep="none", words=suffix.WORDS).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated_words")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,10 @@ string. Matches never cross texts; strings are judged on the input.
    that occur twice come back to their texts.
 4. *Spans.* Matching starts become byte intervals of their texts.
 
+The same steps over words instead of bytes (each word as four characters of its hash) find passages
+of more than 50 words that occur twice, however short their words are: ``repeated_words`` counts
+the words in them.
+
 Defined cases: null and empty texts have no bytes and nothing removed; texts
 shorter than ``length`` stay whole; a null doc_id is kept and takes part (it
 counts as the smallest); rows that repeat a doc_id are texts of their own, told
@@ -40,13 +44,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.llm.common import narrow, release, staged
-from adlens.llm.shingle import mix, text_chunks
+from adlens.llm.shingle import mix, text_chunks, words_of
 
 LENGTH, GRAM = 400, 64
+WORDS, WORD_GRAM, UNIT = 51, 5, 4  # a passage, its grams (both in words), and the characters a word becomes
 SHARD_BYTES = 2 << 20  # bytes put in suffix order at a time (a larger shard is dealt by its windows)
 WINDOWS = 1 << 19  # windows handed on at a time
 
@@ -342,13 +347,38 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str =
                                       (F.col("s0") + F.col("cnt") - 1 + length).cast("long").alias("b")))
 
 
+def _as_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, tkey, text) with each word of the text as ``UNIT`` characters of its hash, nothing between."""
+    for batch in batches:
+        for at, data, off in text_chunks(batch.column(2)):
+            h, _, _, row = words_of(data, off)
+            codes = np.stack([(h >> np.uint64(6 * k) & np.uint64(63)).astype(np.uint8) + np.uint8(48) for k in range(UNIT)], axis=1)
+            ends = np.searchsorted(row, np.arange(len(off))) * UNIT
+            texts = pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(codes.tobytes()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(off) - 1) for k in (0, 1)), texts],
+                                             names=["doc", "tkey", "text"])
+
+
+def repeated_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc, tkey, n_repeated_words): how many words of a text lie in a run of ``words`` words that
+    also begins elsewhere. ``docs``: doc, tkey, text; texts without any are left out."""
+    coded = docs.select("doc", "tkey", "text").mapInArrow(_as_codes, "doc long, tkey long, text string")
+    spans = staged(covered(coded, words * UNIT, WORD_GRAM * UNIT, "none").distinct(), "suffix_word_spans")
+    # the words of overlapping spans count once: what a span adds beyond the furthest end before it
+    before = F.max("b").over(Window.partitionBy("doc", "tkey").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce(before, F.lit(0))))
+    return spans.select("doc", "tkey", new.alias("new")).groupBy("doc", "tkey").agg(
+        F.expr(f"sum(new) div {UNIT}").alias("n_repeated_words"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                         ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             rows = []
-            for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)):
+            part = batch.slice(at, 500)
+            for doc_id, text, spans in zip(*(c.to_pylist() for c in part.columns[:3])):
                 data = (text or "").encode()
                 merged: list[list[int]] = []
                 for s in sorted((s["a"], s["b"]) for s in spans or ()):
@@ -360,19 +390,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept = b"".join(data[edges[i]: edges[i + 1]] for i in range(0, len(edges), 2))
                 rows.append((doc_id, len(data), len(data) - len(kept), len(merged), merged, kept))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                found = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
+                yield pa.RecordBatch.from_arrays([*found, *part.columns[3:]], names=[*schema.names, *part.schema.names[3:]])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
-          keep: str = "first") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, spans ([start, end) pairs), kept (bytes).
+          keep: str = "first", words: int | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, spans ([start, end) pairs), kept (bytes);
+    with ``words``, also n_repeated_words (see :func:`repeated_words`).
 
     Cuts may fall inside a UTF-8 character, as strings are judged by bytes.
     """
     rows = narrow(docs, doc_id=id_col, text=text_col).select(
         "doc_id", F.coalesce("doc_id", F.lit(-2**63)).alias("doc"), F.xxhash64("text").alias("tkey"), "text")
-    spans = staged(covered(rows.where("text IS NOT NULL"), length, gram, keep).groupBy("doc", "tkey").agg(
+    texts = rows.where("text IS NOT NULL")
+    spans = staged(covered(texts, length, gram, keep).groupBy("doc", "tkey").agg(
         F.collect_set(F.struct("a", "b")).alias("spans")), "suffix_spans")
     release(docs.sparkSession)
-    return rows.join(spans.hint("merge"), ["doc", "tkey"], "left").select("doc_id", "text", "spans").mapInArrow(
-        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")
+    joined, more, columns = rows.join(spans.hint("merge"), ["doc", "tkey"], "left"), "", ["doc_id", "text", "spans"]
+    if words:
+        repeated = staged(repeated_words(texts, words), "suffix_words")
+        release(docs.sparkSession)
+        joined = joined.join(repeated.hint("merge"), ["doc", "tkey"], "left").withColumn(
+            "n_repeated_words", F.coalesce("n_repeated_words", F.lit(0)))
+        more, columns = ", n_repeated_words long", [*columns, "n_repeated_words"]
+    return joined.select(*columns).mapInArrow(
+        _cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary{more}")

@@ -96,3 +96,29 @@ def test_notice_in_many_texts_is_gathered_nowhere(spark, keep, monkeypatch):
 
 def test_empty(spark):
     assert suffix.dedup(docs(spark, [])).count() == 0
+
+
+def brute_words(texts, n):
+    split = [[w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", (t or ""))] for _, t in texts]
+    split = [["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in ws] for ws in split]
+    count = Counter(tuple(ws[i: i + n]) for ws in split for i in range(len(ws) - n + 1))
+    out = []
+    for (doc_id, _), ws in zip(texts, split):
+        in_one = [False] * len(ws)
+        for i in range(len(ws) - n + 1):
+            if count[tuple(ws[i: i + n])] > 1:
+                in_one[i: i + n] = [True] * n
+        out.append((-1 if doc_id is None else doc_id, sum(in_one)))
+    return sorted(out)
+
+
+def test_passages_by_words(spark):
+    r = random.Random(3)
+    passages = [words(r.randrange(51, 80), 900 + i) for i in range(6)] + [" ".join("ab"[r.randrange(2)] for _ in range(60))]
+    texts = AWKWARD[:6] + [(100 + i, f"{words(r.randrange(9), i)} {passages[i % 7]}  {words(r.randrange(90), 70 + i)}") for i in range(20)]
+    texts += [(200, words(50, 900)), (201, words(50, 900)), (202, "one " * 30), (203, words(120, 77)), (203, words(120, 77)),
+              (204, words(51, 33).upper() + " end"), (205, "a " + words(51, 33))]
+    got = suffix.dedup(docs(spark, texts), keep="none", words=suffix.WORDS).collect()
+    assert sorted((-1 if g.doc_id is None else g.doc_id, g.n_repeated_words) for g in got) == brute_words(texts, suffix.WORDS)
+    short = suffix.dedup(docs(spark, texts), keep="none", words=7).collect()
+    assert sorted((-1 if g.doc_id is None else g.doc_id, g.n_repeated_words) for g in short) == brute_words(texts, 7)
