@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from adlens.schema import AD_COLUMNS, CAMPAIGN_HEADERS, SNAKE
 
@@ -159,17 +158,15 @@ def preview(df: DataFrame, n: int = 20) -> DataFrame:
 
 
 def describe_columns(df: DataFrame) -> DataFrame:
-    """(position, name, display_name, data_type) of the table's columns."""
+    """(position, name, display_name, data_type, filled) of the table's
+    columns; ``filled`` counts the rows that have a value, all columns in one pass."""
     display = {v: k for k, v in SNAKE.items()}
-    rows = [(i + 1, f.name, display.get(f.name, f.name), f.dataType.simpleString())
+    counts = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"_f{i}") for i, f in enumerate(df.schema.fields)])
+    rows = [F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("name"),
+                     F.lit(display.get(f.name, f.name)).alias("display_name"),
+                     F.lit(f.dataType.simpleString()).alias("data_type"), F.col(f"_f{i}").alias("filled"))
             for i, f in enumerate(df.schema.fields)]
-    schema = T.StructType([
-        T.StructField("position", T.IntegerType(), False),
-        T.StructField("name", T.StringType(), False),
-        T.StructField("display_name", T.StringType(), False),
-        T.StructField("data_type", T.StringType(), False),
-    ])
-    return df.sparkSession.createDataFrame(rows, schema)
+    return counts.select(F.inline(F.array(*rows)))
 
 
 __all__ = [

@@ -19,11 +19,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adlens.operators.moments import pairwise_correlation
 from adlens.schema import MEASURES
 from adlens.session import staged_table
 
 QUARTILES = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
-INF = float("inf")
 
 
 def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
@@ -43,6 +43,10 @@ def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_numb
             .drop("_pid", "_mid", "_first", "_before"))
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def value_counts(base: DataFrame, dim: str) -> DataFrame:
     """(dim, x, c): how often each value occurs in each group.
 
@@ -170,92 +174,17 @@ def box_outliers(df: DataFrame, dim: str = "ad_delivery", metric: str = "cpc_lin
 # correlation
 
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _dbl(v: float) -> str:
-    """An exact double literal in SQL text."""
-    return f"CAST('{float(v)!r}' AS DOUBLE)"
-
-
 def correlation(df: DataFrame, cols: Sequence[str] = MEASURES) -> DataFrame:
     """A14 long form: (metric_a, metric_b, r) for every ordered pair of
     ``cols`` (diagonal included), Pearson's r over the rows where both values
     are finite.
 
     A column that is constant (or has < 2 finite values) gives null, its
-    diagonal too. Two passes of built-in aggregates, numerically stable:
-    pass 1 gets count, mean, min and max per column (one row to the driver);
-    pass 2 sums centred products. Pairs whose columns hold non-finite values
-    get pairwise-masked sums, corrected to their own means exactly.
-
-    The wide expression lists are written as SQL text: one call each, so
-    building the plan stays cheap however many columns are correlated.
+    diagonal too. One pass over the rows: see :mod:`adlens.operators.moments`.
+    Built-in ``corr`` would update 91 pairs value by value; matrix products over
+    Arrow batches take a fraction of that, which is why this report has a Python step.
     """
-    cols = list(cols)
-    k = len(cols)
-    fin = df.selectExpr(*[
-        f"CASE WHEN NOT isnan({_q(c)}) AND abs({_q(c)}) != double('inf') THEN {_q(c)} END AS f{i}"
-        for i, c in enumerate(cols)])
-    p1 = fin.selectExpr(
-        "count(1) AS _rows",
-        *[f"count(f{i}) AS n{i}" for i in range(k)],
-        *[f"avg(f{i}) AS m{i}" for i in range(k)],
-        *[f"min(f{i}) AS lo{i}" for i in range(k)],
-        *[f"max(f{i}) AS hi{i}" for i in range(k)],
-    ).first()
-    rows = p1["_rows"]
-    n = [p1[f"n{i}"] for i in range(k)]
-    mean = [p1[f"m{i}"] if p1[f"m{i}"] is not None else 0.0 for i in range(k)]
-    const = [n[i] < 2 or p1[f"lo{i}"] == p1[f"hi{i}"] for i in range(k)]
-    clean = [n[i] == rows for i in range(k)]
-    live = [i for i in range(k) if not const[i]]
-    # centred values (null where not finite), computed once per row
-    dev = fin.selectExpr(*[f"f{i} - {_dbl(mean[i])} AS d{i}" for i in live] or ["1 AS _none"])
-
-    aggs = ["count(1) AS _n"]
-    aggs += [f"sum(d{i} * d{i}) AS s{i}_{i}" for i in live if clean[i]]
-    for i in live:
-        for j in live:
-            if i >= j:
-                continue
-            if clean[i] and clean[j]:
-                aggs.append(f"sum(d{i} * d{j}) AS s{i}_{j}")
-            else:
-                m = f"(d{i} IS NOT NULL AND d{j} IS NOT NULL)"
-                a, b = f"CASE WHEN {m} THEN d{i} END", f"CASE WHEN {m} THEN d{j} END"
-                aggs += [f"count_if({m}) AS c{i}_{j}", f"sum({a}) AS a{i}_{j}", f"sum({b}) AS b{i}_{j}",
-                         f"sum({a} * {b}) AS s{i}_{j}", f"sum({a} * {a}) AS aa{i}_{j}",
-                         f"sum({b} * {b}) AS bb{i}_{j}"]
-    p2 = dev.selectExpr(*aggs)
-
-    def cell(i: int, j: int) -> str:
-        """named_struct(metric_a, metric_b, n, sxy, sxx, syy, unit) of one cell."""
-        a, b = min(i, j), max(i, j)
-        if const[a] or const[b]:
-            vals = ["CAST(0 AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)",
-                    "CAST(NULL AS DOUBLE)", "false"]
-        elif i == j:
-            vals = [f"CAST({n[i]} AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)",
-                    "CAST(NULL AS DOUBLE)", "true"]
-        elif clean[a] and clean[b]:
-            vals = [f"CAST({rows} AS BIGINT)", f"s{a}_{b}", f"s{a}_{a}", f"s{b}_{b}", "false"]
-        else:
-            c, sa, sb = f"c{a}_{b}", f"a{a}_{b}", f"b{a}_{b}"
-            vals = [c, f"s{a}_{b} - {sa} * {sb} / {c}", f"aa{a}_{b} - {sa} * {sa} / {c}",
-                    f"bb{a}_{b} - {sb} * {sb} / {c}", "false"]
-        names = ("n", "sxy", "sxx", "syy", "unit")
-        body = ", ".join(f"'{nm}', {v}" for nm, v in zip(names, vals))
-        esc = lambda x: x.replace("'", "\\'")
-        return f"named_struct('metric_a', '{esc(cols[i])}', 'metric_b', '{esc(cols[j])}', {body})"
-
-    cells = p2.selectExpr("inline(array(" + ", ".join(cell(i, j) for i in range(k) for j in range(k)) + "))")
-    return cells.selectExpr(
-        "metric_a", "metric_b",
-        "CASE WHEN unit THEN 1.0D "
-        "WHEN n >= 2 AND sxx > 0 AND syy > 0 THEN least(greatest(sxy / sqrt(sxx * syy), -1.0D), 1.0D) "
-        "END AS r")
+    return pairwise_correlation(df, cols)
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] = MEASURES) -> DataFrame:

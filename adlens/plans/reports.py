@@ -15,19 +15,21 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlens import operators as op
 from adlens.functions import fill_ranking, na_to_null, to_date_strict, to_number
 from adlens.functions.coerce import DATE_PATTERN, MAX_DATE, MIN_DATE, NUMBER_PATTERN
-from adlens.schema import AD_COLUMNS, MEASURES, NA_TOKENS, REQUIRED_COLUMNS, SNAKE
-from adlens.session import is_complete, shared_dir
+from adlens.schema import AD_COLUMNS, AD_SCHEMA, DISPLAY, MEASURES, NA_TOKENS, REQUIRED_COLUMNS, SNAKE
+from adlens.session import is_complete, shared_dir, staged_table
 from adlens.sources.adapter import _snapshot_key, ad_report
+from adlens.sources.catalog import export_files
 from adlens.sources.exports import read_exports, union_frames
-from adlens.sources.sinks import (BREAKDOWN_CSV, DAILY_CSV, RANKING_CSV, load_ads, save_ads,
-                                  with_display_headers, write_csv, write_report)
+from adlens.sources.sinks import (BREAKDOWN_CSV, CORRELATION_CSV, DAILY_CSV, RANKING_CSV, load_ads, save_ads,
+                                  with_display_headers, write_correlation_report, write_csv, write_exports, write_report)
 from adlens.sources.workbooks import write_workbooks
+from adlens.streaming import stream_daily, streamed_daily
 
 # --- Fixed parameters of the registered queries (values of the test tables) --
 DATE_RANGE = ("1996-01-01", "1996-12-31")
@@ -332,7 +334,7 @@ MISSING_FILE, MISSING_HEADER, FOREIGN_FILE = "bad.csv", "Amount spent (USD)", "n
 
 
 def _export_folder(spark: SparkSession, sf_dir: str) -> str:
-    folder = f"{shared_dir(spark)}/adlens_sources_{_snapshot_key(spark, sf_dir)}"
+    folder = f"{shared_dir(spark)}/adlens_sources_v2_{_snapshot_key(spark, sf_dir)}"
     if not is_complete(spark, f"{folder}/done"):
         ads = ad_report(spark, sf_dir)
         for r in ads.select("source_file").distinct().collect():
@@ -342,31 +344,68 @@ def _export_folder(spark: SparkSession, sf_dir: str) -> str:
                 own = with_display_headers(own.select(*reversed(own.columns))).withColumn("spend", F.lit("twin"))
             else:
                 own = with_display_headers(own)
-            write_report(own, f"{folder}/in", r.source_file, display_headers=False)
-        write_report(ads.where(F.col("ad_name") == ADS[0]).drop("spend", "source_file"), f"{folder}/in", MISSING_FILE)
+            write_exports(own, f"{folder}/in", r.source_file, display_headers=False)
+        write_exports(ads.where(F.col("ad_name") == ADS[0]).drop("spend", "source_file"), f"{folder}/in", MISSING_FILE)
         write_report(ads.groupBy("ad_name").count(), f"{folder}/in", FOREIGN_FILE)
         ads.select("source_file").distinct().write.parquet(f"{folder}/done")
     return f"{folder}/in"
 
 
+def _source() -> Column:
+    """export_1-7.csv, the file of a task, is a part of the export export_1.csv."""
+    return F.regexp_replace("source_file", "-[0-9]+[.]csv$", ".csv")
+
+
 def _ingest_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = read_exports(spark, [_export_folder(spark, sf_dir)]).table
+    table = read_exports(spark, [_export_folder(spark, sf_dir)]).table.withColumn("source_file", _source())
     return table.select(*AD_COLUMNS, F.col("_id").alias("id_extra"), F.col("`spend.1`").alias("twin"))
 
 
 def _ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     load = read_exports(spark, [_export_folder(spark, sf_dir)])
     rows = load.table.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
-    return (load.report.join(rows, "source_file", "left")
-            .select("source_file", "status", F.array_join("missing_columns", ",").alias("missing"),
-                    F.coalesce("rows", F.lit(0)).alias("rows")))
+    files = load.report.join(rows, "source_file", "left").withColumn("source_file", _source())
+    return files.groupBy("source_file", "status", F.array_join("missing_columns", ",").alias("missing")).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+
+
+BREAKS_SQL = "ad_name || chr(10) || '\"' || ad_delivery || '\",' || chr(13) || chr(10) || campaign"
+
+
+def _ingest_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports whose ad names hold line breaks, commas and quotes, cut into records in parallel."""
+    folder = f"{shared_dir(spark)}/adlens_quoted_{_snapshot_key(spark, sf_dir)}"
+    if not is_complete(spark, f"{folder}/done"):
+        ads = ad_report(spark, sf_dir)
+        names = F.concat_ws("", "ad_name", F.lit('\n"'), "ad_delivery", F.lit('",\r\n'), "campaign")
+        write_exports(ads.withColumn("ad_name", names).drop("source_file"), f"{folder}/in", "export.csv")
+        ads.select("ad_delivery").distinct().write.parquet(f"{folder}/done")
+    table = read_exports(spark, [f"{folder}/in"], split_bytes=1 << 16).table
+    return table.select("reporting_starts", "reporting_ends", "ad_name", "ad_delivery", "spend", "results", "campaign")
+
+
+def _ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog of the export folder (data source ``ad_files``): status and header width by export."""
+    files = export_files(spark, [_export_folder(spark, sf_dir)]).withColumn("source_file", _source())
+    return files.select("source_file", "kind", "status", F.array_join("missing_columns", ",").alias("missing"),
+                        F.coalesce(F.array_size("header"), F.lit(0)).alias("header_columns")).distinct()
+
+
+def _stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 from the contributions that a stream over the export folder keeps."""
+    table = f"{shared_dir(spark)}/adlens_stream_{uuid.uuid4().hex}"
+    stream_daily(spark, _export_folder(spark, sf_dir), table).awaitTermination()
+    return streamed_daily(spark, table)
 
 
 def _ingest_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports of which none can be loaded: the lines that each kind offered, and the rows that came of them."""
     folder = _export_folder(spark, sf_dir)
-    load = read_exports(spark, [f"{folder}/{MISSING_FILE}", f"{folder}/{FOREIGN_FILE}"])
-    return load.report.groupBy("status").agg(F.count(F.lit(1)).alias("files")).withColumn(
-        "rows", load.table.agg(F.count(F.lit(1))).scalar())
+    load = read_exports(spark, [f"{folder}/{MISSING_FILE.removesuffix('.csv')}-*.csv", f"{folder}/{FOREIGN_FILE}"])
+    offered = spark.read.text(folder).select(F.col("_metadata.file_name").alias("source_file"))
+    lines = load.report.join(offered, "source_file").groupBy("status").agg(
+        (F.count(F.lit(1)) - F.count_distinct("source_file")).alias("lines"))
+    return lines.withColumn("rows", load.table.agg(F.count(F.lit(1))).scalar())
 
 
 # ---------------------------------------------------------------------------
@@ -426,6 +465,72 @@ def _correlation_wide_sql() -> str:
     return f"SELECT metric_a AS metric, {cols} FROM ({_correlation_sql()}) AS l GROUP BY metric_a"
 
 
+# ---------------------------------------------------------------------------
+# stored aggregates: the same answers without the fact table
+
+_STORED: dict[tuple, object] = {}
+
+
+def _stored(kind: str, make: Callable[[DataFrame], object], spark: SparkSession, sf_dir: str):
+    """``make`` of the ad table, once a session and snapshot."""
+    key = (spark.sparkContext.applicationId, kind, shared_dir(spark), _snapshot_key(spark, sf_dir))
+    if key not in _STORED:
+        _STORED[key] = make(ad_report(spark, sf_dir))
+    return _STORED[key]
+
+
+def _rollup(spark: SparkSession, sf_dir: str) -> op.Rollup:
+    return _stored("rollup", op.build_rollup, spark, sf_dir)
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored("bitmaps", lambda ads: staged_table(op.bitmap_index(ads), "bitmap_index"), spark, sf_dir)
+
+
+def _box_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles from stored sketches under a date filter, and whether their exact ranks keep the stated error.
+
+    The error holds for one answer with 99 %; three times it is allowed for all of them together."""
+    cells = _stored("sketches", lambda ads: staged_table(op.quantile_cells(ads), "quantile_cells"), spark, sf_dir)
+    answers = staged_table(op.sketched_quartiles(cells, date_range=DATE_RANGE), "quartiles")
+    gaps = op.rank_gaps(op.filter_ads(ad_report(spark, sf_dir), date_range=DATE_RANGE), answers)
+    return gaps.select("ad_delivery", "n", *[(F.col(f"gap_{q}") <= 3 * op.rank_error()).alias(f"{q}_within") for q in ("q1", "median", "q3")])
+
+
+FACETS = {"source_file": SOURCES, "ad_name": ADS, "ad_delivery": ("active", "inactive")}
+
+
+def _facet_sql() -> str:
+    conditions = {c: _in_list(c, v) for c, v in FACETS.items()}
+    parts = []
+    for c in ("source_file", "ad_name", "campaign", "ad_delivery"):
+        others = " AND ".join(x for k, x in conditions.items() if k != c)
+        parts.append(f"SELECT '{c}' AS \"column\", {c} AS value, COUNT(*) AS rows FROM ad_report WHERE {others} AND {c} IS NOT NULL GROUP BY {c}")
+    return _with("\nUNION ALL ".join(parts))
+
+
+def _correlation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the correlation download, r to ten digits."""
+    matrix = op.correlation_matrix(ad_report(spark, sf_dir))
+    matrix = matrix.select("metric", *[F.round(c, 10).alias(c) for c in MEASURES])
+    path = write_correlation_report(matrix, f"{shared_dir(spark)}/adlens_reports_{uuid.uuid4().hex}", CORRELATION_CSV)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def _correlation_file_sql() -> str:
+    header = "," + ",".join(DISPLAY[m] for m in MEASURES)
+    label = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{DISPLAY[m]}'" for m in MEASURES) + " END"
+    cells = ", ".join(f"COALESCE(CAST(round({m}, 10) AS VARCHAR), '')" for m in MEASURES)
+    return f"SELECT '{header}' AS line UNION ALL SELECT concat_ws(',', {label}, {cells}) FROM ({_correlation_wide_sql()}) AS m"
+
+
+def _columns_sql() -> str:
+    one = [f"SELECT CAST({i} AS INTEGER) AS position, '{f.name}' AS name, '{DISPLAY.get(f.name, f.name) if f.name != 'campaign' else f.name}'"
+           f" AS display_name, '{f.dataType.simpleString()}' AS data_type, COUNT({f.name}) AS filled FROM ad_report"
+           for i, f in enumerate(AD_SCHEMA.fields, 1)]
+    return _with("\nUNION ALL ".join(one))
+
+
 # ---------------------------------------------------------------------------
 
 def _breakdown_sql(dim: str) -> str:
@@ -645,13 +750,24 @@ FROM (SELECT reporting_starts, SUM(CAST(spend AS DECIMAL(24,6))) AS s FROM ad_re
   AS campaign), CASE WHEN {_in_list('source_file', FILES_WITHOUT_CAMPAIGN)} THEN ad_name || '#' || ad_delivery END
   AS id_extra, CASE WHEN {_in_list('source_file', FILES_WITHOUT_CAMPAIGN)} THEN 'twin' END AS twin FROM ad_report"""),
            from_tables=True),
+    Report("ingest_quoted", _ingest_quoted,
+           _with(f"""SELECT reporting_starts, reporting_ends, {BREAKS_SQL} AS ad_name, ad_delivery, spend, results, campaign
+FROM ad_report"""), from_tables=True),
+    Report("ingest_files", _ingest_files,
+           _with(f"""SELECT DISTINCT source_file, 'csv' AS kind, 'ok' AS status, CAST(NULL AS VARCHAR) AS missing,
+  CASE WHEN {_in_list('source_file', FILES_WITHOUT_CAMPAIGN)} THEN 28 ELSE 27 END AS header_columns FROM ad_report
+UNION ALL SELECT '{MISSING_FILE}', 'csv', 'missing_columns', '{MISSING_HEADER}', 26
+UNION ALL SELECT '{FOREIGN_FILE}', 'other', 'unsupported', NULL, 0"""), from_tables=True),
+    Report("stream_daily", _stream_daily,
+           _with("SELECT day AS reporting_starts, spend, link_clicks, impressions, results FROM dense",
+                 _daily_sql("reporting_starts")), from_tables=True),
     Report("ingest_report", _ingest_report,
            _with(f"""SELECT source_file, 'ok' AS status, CAST(NULL AS VARCHAR) AS missing, COUNT(*) AS rows FROM ad_report
 GROUP BY source_file UNION ALL SELECT '{MISSING_FILE}', 'missing_columns', '{MISSING_HEADER}', 0
 UNION ALL SELECT '{FOREIGN_FILE}', 'unsupported', NULL, 0"""), from_tables=True),
     Report("ingest_nothing", _ingest_nothing,
-           "SELECT 'missing_columns' AS status, 1 AS files, 0 AS rows UNION ALL SELECT 'unsupported', 1, 0",
-           from_tables=True),
+           _with(f"""SELECT 'missing_columns' AS status, COUNT(*) AS lines, 0 AS rows FROM ad_report WHERE ad_name = '{ADS[0]}'
+UNION ALL SELECT 'unsupported', COUNT(DISTINCT ad_name), 0 FROM ad_report"""), from_tables=True),
     Report("ingest_workbooks", _ingest_workbooks,
            _with("""SELECT day AS reporting_starts, CAST(NULL AS DATE) AS reporting_ends, ad_name, spend,
   CAST(0 AS DOUBLE) AS results, '-' AS quality_ranking, ad_name || '/' || CAST(month(day) AS VARCHAR) AS campaign
@@ -667,12 +783,34 @@ FROM cells""", _cells_sql("reporting_starts")), from_tables=True),
                             ("ad_delivery", "spend", "link_clicks", "impressions", "results", "ctr_link", "cost_per_result"),
                             _breakdown_body("ad_delivery"))), from_tables=True),
     Report("csv_ranking", lambda s, d: _written(
-               op.rank_ads(ad_report(s, d)).select("rank", "ad_name", "spend", "results", "impressions"), s, RANKING_CSV),
-           _with(_lines_sql("rank,Ad name,Amount spent (USD),Results,Impressions",
-                            ("rank", "ad_name", "spend", "results", "impressions"),
-                            f"""SELECT ROW_NUMBER() OVER (ORDER BY m, ad_name) AS rank, * FROM (SELECT ad_name,
-  round(AVG(cost_per_result), 9) AS m, {MONEY_SQL.format(c='spend')} AS spend, SUM(results) AS results,
-  SUM(impressions) AS impressions FROM ad_report GROUP BY ad_name) AS r""")), from_tables=True),
+               op.rank_ads(ad_report(s, d)).select("ad_name", F.round("cost_per_result", ROUND).alias("cost_per_result"),
+                                                   "spend", "results", "impressions"), s, RANKING_CSV),
+           _with(_lines_sql("Ad name,Cost per results,Amount spent (USD),Results,Impressions",
+                            ("ad_name", "cost_per_result", "spend", "results", "impressions"),
+                            f"""SELECT ad_name, round(AVG(cost_per_result), {ROUND}) AS cost_per_result,
+  {MONEY_SQL.format(c='spend')} AS spend, SUM(results) AS results, SUM(impressions) AS impressions
+FROM ad_report GROUP BY ad_name""")), from_tables=True),
+    Report("rollup_kpis", lambda s, d: _rollup(s, d).report("kpis", date_range=DATE_RANGE),
+           _with(f"SELECT *, {KPI_RATIOS_SQL} FROM totals", TOTALS_SQL.replace("FROM ad_report", f"FROM ad_report WHERE {_date_pred(*DATE_RANGE)}")),
+           from_tables=True),
+    Report("rollup_breakdown", lambda s, d: _rollup(s, d).report(
+               "breakdown", "ad_name", date_range=ALL_FILTER["date_range"], source_files=ALL_FILTER["source_files"]),
+           _with(_breakdown_body("ad_name").replace("FROM ad_report WHERE", "FROM ad_report WHERE " + _date_pred(
+               *ALL_FILTER["date_range"]) + " AND " + _in_list("source_file", ALL_FILTER["source_files"]) + " AND")), from_tables=True),
+    Report("rollup_spend_share", lambda s, d: _rollup(s, d).report("spend_share", "ad_delivery", date_range=None, campaigns=CAMPAIGNS),
+           _with(f"""SELECT ad_delivery, CAST(s AS DOUBLE) AS spend,
+  CASE WHEN SUM(s) OVER () <> 0 THEN CAST(s AS DOUBLE) / CAST(SUM(s) OVER () AS DOUBLE) ELSE 0 END AS share
+FROM (SELECT ad_delivery, SUM(CAST(spend AS DECIMAL(24,6))) AS s FROM ad_report
+      WHERE ad_delivery IS NOT NULL AND {_in_list('campaign', CAMPAIGNS)} GROUP BY ad_delivery) AS g"""), ("share",), from_tables=True),
+    Report("facet_counts", lambda s, d: op.facet_counts(_index(s, d), FACETS), _facet_sql(), from_tables=True),
+    Report("facet_kept", lambda s, d: op.kept_count(_index(s, d), FACETS),
+           _with("SELECT COUNT(*) FILTER (WHERE " + " AND ".join(_in_list(c, v) for c, v in FACETS.items())
+                 + ") AS kept_rows, COUNT(*) AS total_rows FROM ad_report"), from_tables=True),
+    Report("box_sketch", _box_sketch,
+           _with(f"""SELECT ad_delivery, COUNT(*) AS n, true AS q1_within, true AS median_within, true AS q3_within FROM ad_report
+WHERE {_date_pred(*DATE_RANGE)} AND isfinite(cpc_link) GROUP BY ad_delivery"""), from_tables=True),
+    Report("csv_correlation", _correlation_file, _correlation_file_sql(), from_tables=True),
+    Report("describe_columns", op.describe_columns, _columns_sql()),
     Report("save_load_ads", _saved, _with("SELECT * FROM ad_report"), from_tables=True),
     Report("ingest_roundtrip", _ingest_roundtrip, _with("SELECT * EXCLUDE (source_file) FROM ad_report"),
            from_tables=True),

@@ -182,7 +182,7 @@ def test_quartiles_match_numpy(spark, rows):
 @SETTINGS
 def test_global_row_number_is_a_sort(spark, rows):
     df = spark.createDataFrame(rows, "a int, b int")
-    got = [(r.a, r.b, r.rn) for r in op.global_row_number(df, ["a", "b"], "rn", 4).orderBy("rn").collect()]
+    got = [(r.a, r.b, r.rn) for r in op.global_row_number(df, ["a", "b"], "rn").orderBy("rn").collect()]
     assert [g[2] for g in got] == list(range(1, len(rows) + 1))
     assert [(a, b) for a, b, _ in got] == sorted(rows)
 

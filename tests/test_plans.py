@@ -41,7 +41,7 @@ def test_filters_pushed_to_scan(ads):
 
 REPORTS = sorted(set(entry.reports.queries()) - {"ingest_nothing"})
 # two passes by nature: an aggregate decides what the second pass keeps or centres on
-TWO_PASSES = {"compare_kpis", "correlation", "correlation_wide", "filter_frame", "filter_frame_summary", "compare_daily",
+TWO_PASSES = {"compare_kpis", "filter_frame", "filter_frame_summary", "compare_daily",
               "stacked_top5", "union_exports", "spend_share"}
 
 

@@ -78,6 +78,51 @@ def test_reports_are_named_files(spark, ads, workdir):
     assert lines == ["Reporting starts,Amount spent (USD),Link clicks,Impressions,Results", "2024-03-01,652.5,1102.0,91500.0,960.0"]
 
 
+def test_names_of_the_downloads():
+    from adlens.sources import sinks
+    assert (sinks.DAILY_CSV, sinks.BREAKDOWN_CSV, sinks.RANKING_CSV, sinks.CORRELATION_CSV) == (
+        "daily_data.csv", "breakdown_data.csv", "ranking_table.csv", "correlation_matrix.csv")
+
+
+def _listing(folder):
+    import os
+    return sorted(f for f in os.listdir(folder) if not f.endswith(".crc"))
+
+
+def test_a_failed_write_leaves_the_old_file(spark, workdir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from adlens.sources import sinks
+    old = spark.range(3).selectExpr("id", "'old' AS v")
+    path = write_report(old, workdir, "t.csv")
+    before = open(path).read()
+    failing = spark.range(3).select("id", F.raise_error(F.lit("no")).cast("string").alias("v"))
+    with pytest.raises(Exception, match="no"):  # a task fails
+        write_report(failing, workdir, "t.csv")
+    assert open(path).read() == before and _listing(workdir) == ["t.csv"]
+
+    def broken(*_):
+        raise OSError("the commit fails")
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "commit_file", broken)
+        with pytest.raises(OSError, match="commit"):
+            write_report(spark.range(9).selectExpr("id", "'new' AS v"), workdir, "t.csv")
+    assert open(path).read() == before and _listing(workdir) == ["t.csv"]
+    write_report(spark.range(1).selectExpr("id", "'new' AS v"), workdir, "t.csv")  # and a good one replaces it
+    assert open(path).read() == "id,v\n0,new\n" and _listing(workdir) == ["t.csv"]
+
+
+def test_exports_are_written_in_parallel_and_undone_together(spark, workdir):
+    from adlens.sources import write_exports
+    t = spark.range(0, 100, 1, 4).selectExpr("id", "id * 2 AS v")
+    paths = write_exports(t, f"{workdir}/in", "big.csv")
+    assert _listing(f"{workdir}/in") == [f"big-{i}.csv" for i in range(4)] and len(paths) == 4
+    assert spark.read.csv(f"{workdir}/in", header=True).count() == 100
+    with pytest.raises(FileExistsError):  # a name is taken: nothing of the new files stays
+        write_exports(t.repartition(6), f"{workdir}/in", "big.csv")
+    assert _listing(f"{workdir}/in") == [f"big-{i}.csv" for i in range(4)]
+
+
 def test_one_busy_date_is_split_over_files(spark, workdir):
     t = spark.range(60000).selectExpr("DATE'2024-01-01' AS reporting_starts", "'one ad' AS ad_name", "rand(1) AS spend",
                                       "rand(2) AS b", "rand(3) AS c")

@@ -3,7 +3,10 @@
 import os
 
 from adlens import operators as op
-from adlens.streaming import read_streamed, stream_exports
+from adlens.schema import REQUIRED_COLUMNS
+from adlens.sources import read_exports
+from adlens.sources.catalog import export_files
+from adlens.streaming import read_streamed, stream_daily, stream_exports, streamed_daily, streamed_sources
 from tests.fixtures import B1, HEADER, NAME_A, NAME_B, SAMPLE_A, SAMPLE_B, cells, total, write
 
 
@@ -22,3 +25,62 @@ def test_drops_are_loaded_once_and_new_columns_kept(spark, workdir):
     assert sorted(str(r.Note) for r in t.collect()) == ["None"] * 4 + ["new"]
     rep = spark.read.parquet(table + "/report")
     assert sorted(r.source_file for r in rep.collect()) == sorted([NAME_A, NAME_B, "extra.csv"])
+
+
+def batch_daily(spark, folder):
+    load = read_exports(spark, [folder])
+    return [tuple(r) for r in op.daily_series(load.table).collect()], [tuple(r) for r in op.source_summary(load.table).collect()]
+
+
+def streamed(spark, table):
+    return [tuple(r) for r in streamed_daily(spark, table).collect()], [tuple(r) for r in streamed_sources(spark, table).collect()]
+
+
+def test_daily_totals_follow_new_replaced_and_replayed_files(spark, workdir):
+    drop, table = (os.path.join(workdir, x) for x in ("drop", "table"))
+    write(drop, NAME_A, [HEADER] + SAMPLE_A)
+    write(drop, "notes.txt", ["not an export"])
+    stream_daily(spark, drop, table).awaitTermination(120)
+    assert streamed(spark, table) == batch_daily(spark, drop)
+
+    write(drop, NAME_B, [HEADER] + SAMPLE_B * 3)
+    stream_daily(spark, drop, table).awaitTermination(120)
+    assert streamed(spark, table) == batch_daily(spark, drop)
+
+    # the first export is replaced: its old rows are retracted
+    write(drop, NAME_A, [HEADER] + SAMPLE_A[:1] + SAMPLE_B[:1])
+    stream_daily(spark, drop, table).awaitTermination(120)
+    assert streamed(spark, table) == batch_daily(spark, drop)
+
+    # a batch that was written but not committed is replayed: nothing counts twice
+    commits = os.path.join(table, "progress", "commits")
+    last = max(int(f) for f in os.listdir(commits) if f.isdigit())
+    for f in (str(last), f".{last}.crc"):
+        if os.path.exists(os.path.join(commits, f)):
+            os.remove(os.path.join(commits, f))
+    stream_daily(spark, drop, table).awaitTermination(120)
+    assert streamed(spark, table) == batch_daily(spark, drop)
+
+    # replaced by something that cannot be loaded: its rows go
+    write(drop, NAME_B, ["a,b", "1,2"])
+    stream_daily(spark, drop, table).awaitTermination(120)
+    assert streamed(spark, table) == batch_daily(spark, drop)
+    assert [s for s, _ in streamed(spark, table)[1]] == [NAME_A]
+
+
+def test_catalog_of_files(spark, workdir):
+    write(f"{workdir}/in", "ok.csv", ["", HEADER] + SAMPLE_A)
+    write(f"{workdir}/in/deep", "short.csv", ["Reporting starts,Ad name", "1,2"])
+    write(f"{workdir}/in", "empty.csv", [])
+    write(f"{workdir}/in", "_hidden.csv", [HEADER])
+    write(f"{workdir}/in", "notes.txt", ["x"])
+    write(f"{workdir}/in", "quoted.csv", [",".join(f'"{h}"' for h in REQUIRED_COLUMNS) + ',"two', 'lines"'] + SAMPLE_A)
+    rows = {r.source_file: r for r in export_files(spark, [f"file:{workdir}/in"]).collect()}
+    assert {k: r.status for k, r in rows.items()} == {
+        "ok.csv": "ok", "short.csv": "missing_columns", "empty.csv": "unreadable", "_hidden.csv": "unsupported",
+        "notes.txt": "unsupported", "quoted.csv": "ok"}
+    assert len(rows["ok.csv"].header) == 26 and len(rows["short.csv"].missing_columns) == 24
+    assert rows["ok.csv"].path == f"file:{workdir}/in/ok.csv"
+    few = spark.read.format("ad_files").option("files_a_partition", 2).load(f"{workdir}/in")
+    assert few.rdd.getNumPartitions() == 3 and few.count() == 6
+    assert export_files(spark, [f"{workdir}/nothing"]).count() == 0
