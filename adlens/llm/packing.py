@@ -5,8 +5,8 @@ capacities, run independently in randomised groups of documents.
    there, only one small row per *piece* leaves (about 50 bytes): a document
    is cut into full pieces of ``capacity`` ids, which fill a sequence of their
    own, and one remainder.
-2. Remainders get a group by a hash of (doc_id, start), so neighbours in the
-   corpus (and a hot source) spread over all groups; the number of groups
+2. Remainders get a group by a hash of their number in the written table of pieces, so neighbours in
+   the corpus, a hot source and any number of equal rows spread over all groups; the number of groups
    follows the number of remainders, so a group stays at ``group_size`` rows
    on average whatever the corpus size.
 3. Within a group pieces are taken longest first and each goes to the first
@@ -159,12 +159,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
     pieces = staged(narrow(docs, doc_id=id_col, text=text_col)
-                    .mapInArrow(_tokenise(path, capacity, end_id), PIECES), "pack_pieces")
+                    .mapInArrow(_tokenise(path, capacity, end_id), PIECES)
+                    .withColumn("number", F.monotonically_increasing_id()), "pack_pieces")
     full = pieces.where(F.col("length") == capacity)
     rest = pieces.where(F.col("length") < capacity)
     groups = partitions_for(spark, rest.count(), group_size)
     # negative ids: sequences that one full piece fills; they need no packing
-    alone = full.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
+    alone = full.drop("number").select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
                         F.lit(0).cast("long").alias("offset"))
 
     def pack_group(key: tuple, table: pa.Table) -> pa.Table:
@@ -174,5 +175,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         table = table.append_column("sequence_id", pa.array(bins + (key[0].as_py() << 32), pa.int64()))
         return table.append_column("offset", pa.array(offsets, pa.int64()))
 
-    dealt = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = rest.withColumn("grp", F.pmod(F.xxhash64("number"), F.lit(groups))).drop("number")
     return dealt.groupBy("grp").applyInArrow(pack_group, PACKED).unionByName(alone)

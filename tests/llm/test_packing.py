@@ -76,5 +76,14 @@ def test_first_fit_decreasing_against_a_plain_scan():
         assert all((bins[i], offsets[i]) == want[i] for i in range(n))
 
 
+def test_equal_rows_spread_over_groups(spark, tok):
+    texts = [(None, "")] * 3000 + [(7, "same words")] * 1000
+    got = packing.pack(docs(spark, texts), group_size=200).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.sequence_id >> 32, []).append(r)
+    assert len(got) == 4000 and len(groups) == 20 and max(map(len, groups.values())) < 400
+
+
 def test_empty(spark):
     assert packing.pack(docs(spark, [])).count() == 0
