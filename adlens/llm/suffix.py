@@ -26,7 +26,7 @@ string. Matches never cross texts; strings are judged on the input.
    that occur twice come back to their texts.
 4. *Spans.* Matching starts become byte intervals of their texts.
 
-The same steps over words instead of bytes (each word as four characters of its hash) find passages
+The same steps over words instead of bytes (each word as three characters, 21 bits of its hash) find passages
 of more than 50 words that occur twice, however short their words are: ``repeated_words`` counts
 the words in them.
 
@@ -47,11 +47,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlens.llm.common import narrow, release, staged
+from adlens.llm.common import narrow, release, small_batches, staged
 from adlens.llm.shingle import mix, text_chunks, words_of
 
 LENGTH, GRAM = 400, 64
-WORDS, WORD_GRAM, UNIT = 51, 5, 4  # a passage, its grams (both in words), and the characters a word becomes
+WORDS, WORD_GRAM, UNIT = 51, 5, 3  # a passage, its grams (both in words), and the characters a word becomes
+CODED_BYTES = 256 << 10  # bytes of text coded at a time
 SHARD_BYTES = 2 << 20  # bytes put in suffix order at a time (a larger shard is dealt by its windows)
 WINDOWS = 1 << 19  # windows handed on at a time
 
@@ -350,9 +351,9 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str =
 def _as_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, tkey, text) with each word of the text as ``UNIT`` characters of its hash, nothing between."""
     for batch in batches:
-        for at, data, off in text_chunks(batch.column(2)):
+        for at, data, off in text_chunks(batch.column(2), CODED_BYTES):
             h, _, _, row = words_of(data, off)
-            codes = np.stack([(h >> np.uint64(6 * k) & np.uint64(63)).astype(np.uint8) + np.uint8(48) for k in range(UNIT)], axis=1)
+            codes = np.stack([(h >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) for k in range(UNIT)], axis=1)
             ends = np.searchsorted(row, np.arange(len(off))) * UNIT
             texts = pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(codes.tobytes()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(off) - 1) for k in (0, 1)), texts],
@@ -363,7 +364,8 @@ def repeated_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc, tkey, n_repeated_words): how many words of a text lie in a run of ``words`` words that
     also begins elsewhere. ``docs``: doc, tkey, text; texts without any are left out."""
     coded = docs.select("doc", "tkey", "text").mapInArrow(_as_codes, "doc long, tkey long, text string")
-    spans = staged(covered(coded, words * UNIT, WORD_GRAM * UNIT, "none").distinct(), "suffix_word_spans")
+    with small_batches(docs.sparkSession):
+        spans = staged(covered(coded, words * UNIT, WORD_GRAM * UNIT, "none").distinct(), "suffix_word_spans")
     # the words of overlapping spans count once: what a span adds beyond the furthest end before it
     before = F.max("b").over(Window.partitionBy("doc", "tkey").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce(before, F.lit(0))))
@@ -404,8 +406,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     rows = narrow(docs, doc_id=id_col, text=text_col).select(
         "doc_id", F.coalesce("doc_id", F.lit(-2**63)).alias("doc"), F.xxhash64("text").alias("tkey"), "text")
     texts = rows.where("text IS NOT NULL")
-    spans = staged(covered(texts, length, gram, keep).groupBy("doc", "tkey").agg(
-        F.collect_set(F.struct("a", "b")).alias("spans")), "suffix_spans")
+    with small_batches(docs.sparkSession):
+        spans = staged(covered(texts, length, gram, keep).groupBy("doc", "tkey").agg(
+            F.collect_set(F.struct("a", "b")).alias("spans")), "suffix_spans")
     release(docs.sparkSession)
     joined, more, columns = rows.join(spans.hint("merge"), ["doc", "tkey"], "left"), "", ["doc_id", "text", "spans"]
     if words:
