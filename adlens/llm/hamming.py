@@ -17,8 +17,8 @@ binomial distribution to that).
    pivots. A comparison is the signature distance, then the whole shingle sets.
 3. *What is left.* Texts in buckets that still hold several classes are paired across
    classes only, where they share a shingle among the rarest of both (two sets of similarity t share one of
-   their first |x| - ceil(t |x|) + 1 shingles in any common order, here from rare to frequent) and
-   are within the radius; those pairs are compared in full. Texts around a common passage are
+   their first |x| - ceil(t |x|) + 1 shingles in any common order, here from rare to frequent), have
+   sizes that allow it (:mod:`adlens.llm.bands`) and are within the radius; those pairs are compared in full. Texts around a common passage are
    never paired unless they consist of little else.
 
 Texts with equal sets collapse first and classes are linked by :mod:`adlens.llm.components`. No bucket is gathered
@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adlens.llm.bands import band, to_partner_bands
 from adlens.llm.common import narrow, staged
 from adlens.llm.components import components
 from adlens.llm.jaccard import ORACLE_SHINGLES
@@ -177,9 +178,10 @@ def _left_over(index: _Index, rows: DataFrame, t: int) -> DataFrame:
     first = index.open(staged(first.select("h", "rep", "n", "place"), "ham_first"), "h")
     main = first.groupBy("h", "cls").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(
         F.max(F.struct("m", "cls")).getField("cls").alias("main"))
-    minor = first.join(main, "h").where("cls <> main").select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "cls", "n", "place")])
+    minor = first.join(main, "h").where("cls <> main").select(
+        "h", band(F.col("n")).alias("band"), *[F.col(c).alias(f"{c}2") for c in ("rep", "cls", "n", "place")])
     needed = F.expr(f"({t} * (n + n2) + {99 + t}) div {100 + t}")
-    return (first.join(minor, "h").where((F.col("cls") != F.col("cls2")) & (F.col("n") * 100 >= F.col("n2") * t)
+    return (to_partner_bands(first, t).join(minor, ["h", "band"]).where((F.col("cls") != F.col("cls2")) & (F.col("n") * 100 >= F.col("n2") * t)
                                          & (F.col("n2") * 100 >= F.col("n") * t)
                                          & (F.col("n") - F.col("place") >= needed) & (F.col("n2") - F.col("place2") >= needed))
             .select(F.least("rep", "rep2").alias("x"), F.greatest("rep", "rep2").alias("y")).distinct())

@@ -22,7 +22,8 @@ Documents with equal shingle sets collapse first. Then, exactly:
    measured; classes merge; what is still open is joined between classes only,
    and only where the distances to the common pivot differ by at most r
    (triangle inequality) and the places of the posting in both sets leave
-   room for the needed overlap. Every other pair is proven further apart than r.
+   room for the needed overlap; postings are split by set size, so that texts which
+   cannot reach it are not paired at all (:mod:`adlens.llm.bands`). Every other pair is proven further apart than r.
 
 Classes are linked by :mod:`adlens.llm.components`. Shingles are 64-bit hashes
 (:mod:`adlens.llm.shingle`), sets are told apart by 128 bits.
@@ -43,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adlens.llm.bands import band, to_partner_bands
 from adlens.llm.common import narrow, staged
 from adlens.llm.components import components
 from adlens.llm.shingle import shingles_of, text_chunks
@@ -267,13 +269,14 @@ def classes_of(docs: DataFrame, threshold: int = THRESHOLD, extra: int = EXTRA)
     main = staged(sizes.groupBy("h").agg(F.max(F.struct("m", "cls")).alias("top"), F.count(F.lit(1)).alias("k"))
                   .where("k > 1").select("h", F.col("top.cls").alias("main")), "jac_main")
     minor = rows.join(main, "h").where("cls <> main").select(
-        "h", F.col("rep").alias("y"), F.col("cls").alias("cy"), F.col("d").alias("dy"), F.col("n").alias("ny"),
-        F.col("place").alias("py"))
+        "h", band(F.col("n")).alias("band"), F.col("rep").alias("y"), F.col("cls").alias("cy"), F.col("d").alias("dy"),
+        F.col("n").alias("ny"), F.col("place").alias("py"))
     radius = (100 - t) / 100 + 1e-9
     # at the first posting that two sets share, what follows it in both must still hold the needed overlap;
     # a pair that fails this here either has an earlier common posting or is not similar
     needed = F.expr(f"({t} * (n + ny) + {99 + t}) div {100 + t}")
-    pairs = (rows.select("h", F.col("rep").alias("x"), "cls", "d", "n", "place").join(minor, "h")
+    rows = to_partner_bands(rows.select("h", F.col("rep").alias("x"), "cls", "d", "n", "place"), t)
+    pairs = (rows.join(minor, ["h", "band"])
              .where((F.col("cls") != F.col("cy")) & (F.abs(F.col("d") - F.col("dy")) <= radius)
                     & (F.col("n") - F.col("place") >= needed) & (F.col("ny") - F.col("py") >= needed))
              .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())

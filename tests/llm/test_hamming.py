@@ -5,7 +5,7 @@ from math import comb
 import numpy as np
 import pytest
 
-from adlens.llm import hamming
+from adlens.llm import hamming, jaccard
 from adlens.llm.shingle import shingles_of, text_chunks
 from tests.llm import test_jaccard as j
 from tests.llm.fixtures_llm import AWKWARD, docs, words
@@ -103,5 +103,31 @@ def test_distance_of_similar_sets():
     assert abs(np.mean(gaps)) < 0.01 and np.std(gaps) < 0.06  # as many differences as the similarity tells
 
 
+@pytest.mark.parametrize("module,t", [(hamming, 85), (jaccard, 80)])
+def test_a_notice_in_many_texts_pairs_nothing(spark, module, t, monkeypatch):
+    """Texts of one notice and a few words of their own fall short of the threshold: no pairs are made."""
+    notice, seen = words(20, 1), {}
+    texts = [(i, f"{notice} " + " ".join(f"o{i}x{k}" for k in range(4))) for i in range(400)]
+    texts += [(1000 + i, f"{words(300, 70 + i)} {words(20, 2)}") for i in range(50)]
+    plain = module.staged
+    monkeypatch.setattr(module, "staged", lambda df, name: seen.setdefault(name, []).append(plain(df, name)) or seen[name][-1])
+    got = module.join(docs(spark, texts)).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+    assert sum(f.count() for f in seen["ham_left" if module is hamming else "jac_pairs"]) == 0
+
+
+def test_partner_bands_lose_no_pair(spark):
+    from adlens.llm.bands import band, to_partner_bands
+    from pyspark.sql import functions as F
+    for t in (80, 85, 90):
+        rows = spark.range(1, 130).select(F.col("id").alias("n")).withColumn("place", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        dealt = {(r.n, r.place, r.band) for r in to_partner_bands(rows, t).collect()}
+        of = {r.n: r.b for r in rows.select("n", band(F.col("n")).alias("b")).distinct().collect()}
+        for n in range(1, 130):
+            for n2 in range(-(-n * t // 100), min(n * 100 // t, 129) + 1):
+                needed = -(-t * (n + n2) // (100 + t))
+                assert all((n, p, of[n2]) in dealt for p in range(0, n - needed + 1)), (t, n, n2)
+
+
 def test_empty(spark):
     assert hamming.join(docs(spark, [])).count() == 0
