@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlens.schema import AD_COLUMNS, CAMPAIGN_HEADERS, SNAKE
+from adlens.session import staged_table
 
 
 class _AllDates:
@@ -97,8 +99,46 @@ def filter_predicate(df: DataFrame, date_range=ALL_DATES, source_files: ListArg
     return pred
 
 
+BLOOM_HASHES = 4
+BLOOM_BITS_A_VALUE = 12  # about one false hit in 250
+BLOOM_MOST_BITS = 1 << 26  # 8 MB; beyond it the filter only lets more rows through
+
+
+def bloom_bits(values: int) -> int:
+    """The size of a filter for so many values: a power of two within the bounds."""
+    return min(BLOOM_MOST_BITS, max(1 << 12, 1 << (values * BLOOM_BITS_A_VALUE - 1).bit_length()))
+
+
+def _bit_places(c: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(c, F.lit(i)), F.lit(bits)) for i in range(BLOOM_HASHES)]
+
+
+def may_contain(values: DataFrame, c: Column, count: int) -> Column:
+    """A condition that holds for every row whose ``c`` is among ``values`` (their number known)
+    and for few others: a Bloom filter as an array of 64-bit words, tested within the scan's stage."""
+    bits = bloom_bits(count)
+    value = F.col(f"`{values.columns[0]}`").cast("string")
+    ones = values.where(value.isNotNull()).select(F.explode(F.array(*_bit_places(value, bits))).alias("p")).select(
+        F.expr("p div 64").alias("word"), F.expr("shiftleft(1L, CAST(p % 64 AS INT))").alias("x"))
+    words = ones.unionByName(values.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("x")))
+    whole = words.groupBy("word").agg(F.bit_or("x").alias("x")).agg(
+        F.expr("transform(sort_array(collect_list(struct(word, x))), w -> w.x)")).scalar()
+    hits = [F.bit_get(F.element_at(whole, (F.floor(p / 64) + 1).cast("int")), (p % 64).cast("int")) == 1 for p in _bit_places(c.cast("string"), bits)]
+    return reduce(lambda a, b: a & b, hits)
+
+
+def _pruned(df: DataFrame, source_files: ListArg, ads: ListArg, campaigns: ListArg) -> DataFrame:
+    """``df`` without most rows that the value tables among the lists cannot keep (one job a table counts it)."""
+    for c, v in (("source_file", source_files), ("ad_name", ads), (resolve_campaign(df.columns), campaigns)):
+        if c is not None and isinstance(v, DataFrame):
+            known = staged_table(v.select(F.col(f"`{v.columns[0]}`").alias("v")).where("v IS NOT NULL").distinct(), "filter_values")
+            if n := known.count():
+                df = df.where(may_contain(known, F.col(f"`{c}`"), n))
+    return df
+
+
 def filter_ads(df: DataFrame, date_range=ALL_DATES, source_files: ListArg = None,
-               ads: ListArg = None, campaigns: ListArg = None) -> DataFrame:
+               ads: ListArg = None, campaigns: ListArg = None, long_lists: bool = False) -> DataFrame:
     """Filter the ad table.
 
     Python lists become ``IN`` predicates (Catalyst turns long ones into a
@@ -106,9 +146,12 @@ def filter_ads(df: DataFrame, date_range=ALL_DATES, source_files: ListArg = None
     applied as a join with its distinct values instead, for lists too large
     to ship in the plan; the join strategy is chosen by AQE from the measured
     size of the value table. An empty list or value table means no filter.
+    ``long_lists=True`` is for value tables too long to broadcast: a Bloom filter of the values
+    drops most other rows before the join's shuffle, the join stays exact.
     """
     pred = filter_predicate(df, date_range, source_files, ads, campaigns)
     out = df.where(pred) if pred is not None else df
+    out = _pruned(out, source_files, ads, campaigns) if long_lists else out
     marked, listed = _marked(out, source_files, ads, campaigns)
     return marked.where(listed).select(*[F.col(f"`{c}`") for c in df.columns]) if listed is not None else out
 

@@ -234,6 +234,14 @@ def _some_ads(d: DataFrame) -> DataFrame:
             .where("m >= 5 AND ad_name < 'Brand#3'").select("ad_name"))
 
 
+def _filter_long_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long value table of which few values occur: promotions, and a name for every part."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    values = part.select(F.when(F.col("p_type").startswith("PROMO"), F.col("p_type")).alias("v")).unionByName(
+        part.select(F.concat_ws("#", "p_type", F.col("p_partkey").cast("string")).alias("v")))
+    return op.filter_ads(ad_report(spark, sf_dir), date_range=None, campaigns=values, long_lists=True)
+
+
 # ---------------------------------------------------------------------------
 # ingest_coerce: export text cells derived from lineitem, then the typing rules
 
@@ -729,6 +737,7 @@ WHERE ad_name NOT IN ('{ADS[0]}', '{ADS[1]}') GROUP BY ad_name""")),
     Report("filter_frame", lambda d: op.filter_ads(d, date_range=None, ads=_some_ads(d)),
            _filter_sql("ad_name IN (SELECT ad_name FROM ad_report WHERE ad_delivery = 'inactive' GROUP BY ad_name "
                        "HAVING MAX(link_clicks) >= 5 AND ad_name < 'Brand#3')")),
+    Report("filter_long_frame", _filter_long_frame, _filter_sql("campaign LIKE 'PROMO%'"), from_tables=True),
     Report("filter_frame_summary", lambda d: op.filter_summary(d, date_range=None, ads=_some_ads(d), source_files=SOURCES),
            _with("SELECT COUNT(*) FILTER (WHERE ad_name IN (SELECT ad_name FROM ad_report WHERE ad_delivery = 'inactive' "
                  "GROUP BY ad_name HAVING MAX(link_clicks) >= 5 AND ad_name < 'Brand#3') AND " + _in_list("source_file", SOURCES)

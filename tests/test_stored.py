@@ -118,3 +118,19 @@ def test_correlation_is_stable_around_a_large_mean(spark):
     import numpy as np
     want = np.corrcoef(np.array([(a - 1e9, b - 1e9, a + b - 2e9) for a, b in rows]).T)
     assert abs(got["a", "b"] - want[0, 1]) < 1e-5 and abs(got["a", "c"] - want[0, 2]) < 1e-5
+
+
+def test_long_value_tables_are_pruned_before_the_join(spark, ads):
+    from adlens.operators.filters import bloom_bits, may_contain
+    assert (bloom_bits(1), bloom_bits(1000), bloom_bits(10 ** 12)) == (1 << 12, 1 << 14, 1 << 26)
+    values = spark.range(20_000).selectExpr("concat('name ', id) AS v").unionByName(
+        spark.createDataFrame([("Brand#11",), ("Brand#45",), (None,)], "v string"))
+    kept = ads.where(may_contain(values, F.col("ad_name"), 20_002))
+    exact = ads.where(F.col("ad_name").isin("Brand#11", "Brand#45"))
+    assert exact.exceptAll(kept).isEmpty() and kept.count() < exact.count() + 0.1 * ads.count()
+    p = plan(op.filter_ads(ads, date_range=None, ads=values, long_lists=True))
+    assert "bit_get" in p or "getbit" in p.lower()
+    for filters in ({"ads": values}, {"ads": values, "campaigns": values.where("false")}, {"source_files": values.where("v IS NULL")}):
+        got = op.filter_ads(ads, date_range=None, long_lists=True, **filters)
+        want = op.filter_ads(ads, date_range=None, **filters)
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
