@@ -526,8 +526,9 @@ def _correlation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _correlation_file_sql() -> str:
-    header = "," + ",".join(DISPLAY[m] for m in MEASURES)
-    label = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{DISPLAY[m]}'" for m in MEASURES) + " END"
+    names = {m: f'"{DISPLAY[m]}"' if "," in DISPLAY[m] else DISPLAY[m] for m in MEASURES}  # as CSV quotes them
+    header = "," + ",".join(names.values())
+    label = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{n}'" for m, n in names.items()) + " END"
     cells = ", ".join(f"COALESCE(CAST(round({m}, 10) AS VARCHAR), '')" for m in MEASURES)
     return f"SELECT '{header}' AS line UNION ALL SELECT concat_ws(',', {label}, {cells}) FROM ({_correlation_wide_sql()}) AS m"
 
