@@ -52,8 +52,8 @@ from adlens.llm.shingle import mix, text_chunks, words_of
 
 LENGTH, GRAM = 400, 64
 WORDS, WORD_GRAM, UNIT = 51, 5, 3  # a passage, its grams (both in words), and the characters a word becomes
-CODED_BYTES = 256 << 10  # bytes of text coded at a time
-SHARD_BYTES = 2 << 20  # bytes put in suffix order at a time (a larger shard is dealt by its windows)
+CHUNK = 512 << 10  # bytes of text (whole texts) a task hashes at a time
+SHARD_BYTES = 1 << 20  # bytes put in suffix order at a time (a larger shard is dealt by its windows)
 WINDOWS = 1 << 19  # windows handed on at a time
 
 _rng = np.random.default_rng(977)
@@ -107,7 +107,7 @@ def _segments(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for at, data, off in text_chunks(batch.column(2)):
+            for at, data, off in text_chunks(batch.column(2), CHUNK):
                 long = np.flatnonzero(np.diff(off) >= length)
                 if not len(long):
                     continue
@@ -351,7 +351,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str =
 def _as_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, tkey, text) with each word of the text as ``UNIT`` characters of its hash, nothing between."""
     for batch in batches:
-        for at, data, off in text_chunks(batch.column(2), CODED_BYTES):
+        for at, data, off in text_chunks(batch.column(2), CHUNK):
             h, _, _, row = words_of(data, off)
             codes = np.stack([(h >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) for k in range(UNIT)], axis=1)
             ends = np.searchsorted(row, np.arange(len(off))) * UNIT
