@@ -201,8 +201,9 @@ def _audited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def words() -> Iterator[str]:
         for batch in batches:
-            held.append(batch)
-            yield from batch.column(batch.num_columns - 1).to_pylist()
+            if batch.num_rows:
+                held.append(batch)
+                yield from batch.column(batch.num_columns - 1).to_pylist()
     found, cost, audit = cheapest(words()), [], []
     for one in found:
         cost.append(one[0])
