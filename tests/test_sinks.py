@@ -112,6 +112,33 @@ def test_a_failed_write_leaves_the_old_file(spark, workdir, monkeypatch):
     assert open(path).read() == "id,v\n0,new\n" and _listing(workdir) == ["t.csv"]
 
 
+def test_a_failed_save_leaves_the_old_table(spark, workdir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from adlens.sources import sinks
+    t = ad_report(spark, "/root/testdata/sf0.001")
+    path = save_ads(t, f"{workdir}/ads")
+    with pytest.raises(Exception, match="no"):  # a task fails
+        save_ads(t.withColumn("ad_name", F.raise_error(F.lit("no")).cast("string")), path)
+    assert load_ads(spark, path).count() == t.count() and _listing(workdir) == ["ads"]
+    plain, calls = sinks._rename, []
+
+    def second_fails(fs, source, target):
+        calls.append(source)
+        if len(calls) == 2:
+            raise OSError("between the renames")
+        plain(fs, source, target)
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_rename", second_fails)
+        with pytest.raises(OSError, match="between"):
+            save_ads(t.limit(5), path)
+    assert len(calls) == 3 and load_ads(spark, path).count() == t.count() and _listing(workdir) == ["ads"]
+    save_ads(load_ads(spark, path).where("ad_name = 'Brand#11'"), path)  # over itself
+    assert load_ads(spark, path).count() == t.where("ad_name = 'Brand#11'").count() > 0 and _listing(workdir) == ["ads"]
+    with pytest.raises(Exception, match="exist"):
+        save_ads(t, path, mode="errorifexists")
+
+
 def test_exports_are_written_in_parallel_and_undone_together(spark, workdir):
     from adlens.sources import write_exports
     t = spark.range(0, 100, 1, 4).selectExpr("id", "id * 2 AS v")
