@@ -10,9 +10,10 @@ their scope, the ``window`` code points around them in the same text:
 * an account name or an endpoint needs a secret (``assign``, ``hex`` or a weak one).
 
 Texts are scanned in their tasks; only parts (a few integers each) leave. The
-interval join within scopes is a pair of running window aggregates over each
-text's parts in order of start (nearest complementary part before and after),
-so it costs a sort, never a row per pair.
+interval join within scopes is a merge over each text's parts in order of start: every part
+meets the complementary part that ends last before it and the one that starts first
+after it, so it costs a sort, never a row per pair. The nearer of the two within the scope is
+the part's ``partner`` and is reported with it (ties: the one before).
 
 Defined cases: null and empty texts give a row with zero counts; a null doc_id
 is kept; repeated rows give a row each (rows are told apart by position, not by
@@ -93,42 +94,53 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def link(found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Keep base parts and the weak ones with a complementary part in scope (adds ``linked``)."""
+    """Keep base parts and the weak ones with a complementary part in scope; adds ``partner`` (kind, start, end; null
+    without one) and ``linked``."""
     before = Window.partitionBy("row").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("row").orderBy("start", "kind", "end").rowsBetween(1, Window.unboundedFollowing)
-
-    def near(kinds: tuple[int, ...]):
-        is_one = F.col("kind").isin(*kinds)
-        gap_before = F.col("start") - F.max(F.when(is_one, F.col("end"))).over(before)
-        gap_after = F.min(F.when(is_one, F.col("start"))).over(after) - F.col("end")
-        return (F.coalesce(gap_before <= window, F.lit(False)) | F.coalesce(gap_after <= window, F.lit(False)))
-
     kind = F.col("kind")
-    linked = ((kind.isin(*_SECRETS) & near(_IDENTIFIERS + _ENDPOINTS))
-              | (kind.isin(*_IDENTIFIERS, *_ENDPOINTS) & near(_SECRETS)))
-    return found.withColumn("linked", linked).where((kind < N_BASE) | F.col("linked"))
+
+    def nearest(kinds: tuple[int, ...]):
+        is_one = kind.isin(*kinds)
+        last = F.max(F.when(is_one, F.struct("end", "start", "kind"))).over(before)
+        first = F.min(F.when(is_one, F.struct("start", "end", "kind"))).over(after)
+        # parts of different kinds may overlap: their gap is 0
+        gaps = [F.when(p.isNotNull(), F.greatest(F.lit(0), gap)) for p, gap in (
+            (last, F.col("start") - last["end"]), (first, first["start"] - F.col("end")))]
+        choices = [F.when(gap <= window, F.struct(gap.alias("gap"), F.lit(i).alias("side"), p["kind"].alias("kind"),
+                                                  p["start"].alias("start"), p["end"].alias("end")))
+                   for i, (gap, p) in enumerate(zip(gaps, (last, first)))]
+        return F.array_min(F.array_compact(F.array(*choices)))
+    partner = (F.when(kind.isin(*_SECRETS), nearest(_IDENTIFIERS + _ENDPOINTS))
+               .when(kind.isin(*_IDENTIFIERS, *_ENDPOINTS), nearest(_SECRETS)))
+    found = found.withColumn("_p", partner).withColumn("linked", F.col("_p").isNotNull())
+    kept = found.where((kind < N_BASE) | F.col("linked"))
+    return kept.withColumn("partner", F.when(F.col("linked"), F.struct("_p.kind", "_p.start", "_p.end"))).drop("_p")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per input row: doc_id, spans (array of kind, start, end, linked, in order)."""
+    """One row per input row: doc_id, spans (array of kind, start, end, linked, partner = kind, start, end; in order)."""
     # staged: the row numbers must not change between the two uses
     found = staged(parts(docs, id_col, text_col), "secret_parts")
     kept = link(found, window)
     names = F.array(*[F.lit(k) for k in KINDS])
-    spans = F.sort_array(F.collect_list(F.when(F.col("kind") >= 0, F.struct("start", "kind", "end", "linked"))))
+    spans = F.sort_array(F.collect_list(F.when(F.col("kind") >= 0, F.struct("start", "kind", "end", "linked", "partner"))))
     return (kept.groupBy("row", "doc_id").agg(spans.alias("s"))
             .select("doc_id", F.transform("s", lambda x: F.struct(
                 F.get(names, x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
-                x["linked"].alias("linked"))).alias("spans")))
+                x["linked"].alias("linked"), F.when(x["linked"], F.struct(
+                    F.get(names, x["partner"]["kind"]).alias("kind"), x["partner"]["start"].alias("start"),
+                    x["partner"]["end"].alias("end"))).alias("partner"))).alias("spans")))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """Counts, the hash of the base spans and the text of all spans."""
+    """Counts, the hash of the base spans, the text of all spans, and the links (part>partner)."""
     base = F.filter("spans", lambda x: x["kind"].isin(*KINDS[:N_BASE]))
-    text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(
-        ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    one = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    text = lambda a: F.array_join(F.transform(a, one), ",")
+    links = F.transform(F.filter("spans", lambda x: x["linked"]), lambda x: F.concat_ws(">", one(x), one(x["partner"])))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     return scanned.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:N_BASE]],
         F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
-        F.size(F.filter("spans", lambda x: x["linked"])).cast("long").alias("n_linked"))
+        F.size(F.filter("spans", lambda x: x["linked"])).cast("long").alias("n_linked"), F.array_join(links, ",").alias("links"))

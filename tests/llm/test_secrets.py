@@ -46,5 +46,37 @@ def test_weak_parts_need_a_complement(spark):
         assert kept == base(t)
 
 
+def brute_links(text, window=secrets.WINDOW):
+    """Every part with the nearest complementary part around it, by comparing all pairs."""
+    found = secrets.base_spans(text)
+    found = sorted(found + secrets.weak_spans(text, found), key=lambda s: (s[1], s[0], s[2]))
+    of = {0: (1, 3, 5), 2: (1, 3, 5), 4: (1, 3, 5), 1: (0, 2, 4), 3: (0, 2, 4), 5: (0, 2, 4)}
+    out = []
+    for i, (k, a, b) in enumerate(found):
+        last = max(((e, s, j) for j, s, e in found[:i] if j in of[k]), default=None)
+        first = min(((s, e, j) for j, s, e in found[i + 1:] if j in of[k]), default=None)
+        near = []
+        if last and max(0, a - last[0]) <= window:
+            near.append((max(0, a - last[0]), 0, last[2], last[1], last[0]))
+        if first and max(0, first[0] - b) <= window:
+            near.append((max(0, first[0] - b), 1, first[2], first[0], first[1]))
+        if near:
+            _, _, j, s, e = min(near)
+            out.append(f"{secrets.KINDS[k]}:{a}:{b}>{secrets.KINDS[j]}:{s}:{e}")
+    return ",".join(out)
+
+
+def test_partners_by_brute_force(spark):
+    import random
+    r = random.Random(12)
+    pieces = [KEY, HEX, BLOB, "https://db.example.com/x", "10.0.0.7", "user=alice", "password: hunter22", "token=abcdefgh", "word", "é日",
+              "login: bob", f"secret={HEX}"]
+    texts = [(1000 + i, "".join(r.choice(pieces) + " " * r.choice([1, 1, 3, 90, 180, 260]) for _ in range(r.randrange(1, 14)))) for i in range(120)]
+    got = {g.doc_id: (g.links, g.n_linked) for g in run(spark, texts + TEXTS).collect()}
+    assert sum(n for _, n in got.values()) > 200
+    for d, t in texts + TEXTS:
+        assert got[d][0] == brute_links(t) and got[d][1] == brute_links(t).count(">"), t
+
+
 def test_empty(spark):
     assert run(spark, []).count() == 0
