@@ -37,7 +37,7 @@ from adlens.llm.common import narrow, partitions_for, staged
 CAPACITY = 2048
 GROUP_SIZE = 8192
 END_ID = 1
-CACHE_PARTS = 800_000
+CACHE_PARTS = 300_000
 _SPLIT = re.compile(r"[ \t\n\r]+")
 _PARTS = re.compile(r"[a-zß-öø-ÿªºµ]+|[^a-zß-öø-ÿªºµ\s]+")
 _ODD = re.compile(r"['\x1c-\x1f]|[^\x00-\xff]")  # \x1c-\x1f: white space to Python alone
