@@ -30,6 +30,20 @@ def tables(spark, folder):
     return folder
 
 
+def test_staging_shuffles_what_the_columns_are_made_of(spark, workdir, monkeypatch):
+    sf = tables(spark, f"{workdir}/t")
+    assert "BroadcastHashJoin" not in plan(adapter.ad_report_plan(spark, sf))  # small or large: one plan
+    assert adapter._partitions(spark, sf) is None
+    monkeypatch.setattr(adapter, "BYTES_A_PARTITION", 200)
+    n = adapter._partitions(spark, sf)
+    assert n > 4  # the session's number
+    dealt = adapter.spread(adapter._base(spark, sf, n), "reporting_starts", partitions=n)
+    assert len(dealt.columns) == 9 and plan(dealt).count(f", {n}), REPARTITION_BY_NUM") == 5
+    staged, want = ad_report(spark, sf), adapter.ad_report_plan(spark, sf)
+    assert staged.dtypes == want.dtypes and staged.count() == 200
+    assert staged.exceptAll(want).isEmpty() and want.exceptAll(staged).isEmpty()
+
+
 def test_exports_are_files_of_bounded_rows(spark, workdir, monkeypatch):
     monkeypatch.setattr(sinks, "ROWS_A_FILE", 60)
     ads = ad_report(spark, tables(spark, f"{workdir}/t")).coalesce(1)
