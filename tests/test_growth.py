@@ -73,3 +73,27 @@ def test_number_text_of_the_common_range(spark):
     df = spark.createDataFrame([(x,) for x in [*given, None, float("nan")]], "x double")
     got = [r.t for r in df.select(sinks.number_text(F.col("x")).alias("t")).collect()]
     assert got == [*given.values(), None, None]
+
+
+def test_bitmaps_are_made_without_a_shuffle(spark):
+    df = spark.range(0, 100_000, 1, 2).selectExpr(
+        "concat('f', id % 3) AS source_file", "IF(id % 5 = 0, NULL, concat('a', id % 700)) AS ad_name",
+        "CAST(NULL AS STRING) AS campaign", "IF(id < 70000, 'x', 'y') AS ad_delivery")
+    index = op.bitmap_index(df)
+    assert "Exchange" not in plan(index)
+    # the built-in aggregates give the same bitmaps
+    each = df.withColumn("_row", F.monotonically_increasing_id()).selectExpr("_row", "inline(array(" + ", ".join(
+        ["struct('*' AS column, CAST(NULL AS STRING) AS value)"] + [f"struct('{c}' AS column, {c} AS value)" for c in facets.COLUMNS]) + "))").where(
+        "value IS NOT NULL OR column = '*'")
+    want = each.groupBy("column", "value", F.bitmap_bucket_number("_row").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_row")).alias("bits"))
+    assert index.count() == want.count() > 2000
+    assert index.exceptAll(want).isEmpty() and want.exceptAll(index).isEmpty()
+
+
+def test_bitmaps_are_dealt_by_their_size_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(facets, "BITMAPS_A_TASK", 2)
+    index = op.bitmap_index(spark.range(0, 10, 1, 1).selectExpr(
+        "'f' AS source_file", "concat('a', id) AS ad_name", "'c' AS campaign", "'x' AS ad_delivery"))
+    assert facets._dealt(index)(index).rdd.getNumPartitions() == 9  # 18 bitmaps
+    assert tuple(op.kept_count(index, {"ad_name": ["a1", "a2"]}).first()) == (2, 10)
