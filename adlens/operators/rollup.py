@@ -1,6 +1,6 @@
 """A1, A6, A8 and A11 under filters: a stored rollup that answers instead of the fact table.
 
-The sums that those reports need add up, so one pass of ``GROUPING SETS`` stores them at
+The sums that those reports need add up, so one pass over the facts stores them at
 several levels (days and deliveries; days, files and ads; ...). Days are always part of a level, as
 the date filter looks at both. :meth:`Rollup.report` picks the level with the fewest
 rows that has every column the filters and the report use and runs the
@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 
 from adlens.operators.breakdown import breakdown, spend_share
 from adlens.operators.filters import ALL_DATES, filter_ads, resolve_campaign
-from adlens.operators.kpis import funnel, kpi_cards, kpis, money_sum
-from adlens.session import shared_dir
+from adlens.operators.kpis import funnel, kpi_cards, kpis, money_exact, money_joined, money_rest
+from adlens.session import shared_dir, staged_table
 
 DATES = ("reporting_starts", "reporting_ends")
 DIMENSIONS = ("source_file", "ad_name", "campaign", "ad_delivery")
 SUMS = ("impressions", "reach", "link_clicks", "clicks_all", "results")
 LEVELS = ((), ("ad_delivery",), ("source_file", "ad_name"), ("source_file", "ad_name", "campaign", "ad_delivery"))
+ROWS_A_TASK = 500_000
 
 #: The reports whose numbers are sums of sums, and whether they group by a dimension.
 REPORTS: dict[str, tuple[Callable, bool]] = {
@@ -60,22 +61,31 @@ class Rollup:
         return build(kept, dim) if grouped else build(kept)
 
 
+def _dealt(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` dealt by ``keys`` to as many tasks as their number asks for."""
+    return rows.repartition(max(1, -(-rows.count() // ROWS_A_TASK)), *keys)
+
+
 def build_rollup(facts: DataFrame, levels: Sequence[Sequence[str]] = LEVELS, folder: str | None = None) -> Rollup:
     """Store the levels of ``facts`` (one scan) below ``folder``, by default a fresh one in the shared folder."""
     folder = folder or f"{shared_dir(facts.sparkSession)}/adlens_rollup_{uuid.uuid4().hex}"
     levels = [tuple(x) for x in levels]
     if bad := {c for x in levels for c in x} - set(DIMENSIONS):
         raise ValueError(f"not a dimension: {sorted(bad)}")
-    sets = [[*DATES, *x] for x in levels]
-    cells = facts.groupingSets([[F.col(c) for c in s] for s in sets], *DATES, *DIMENSIONS).agg(
-        F.grouping_id().alias("_level"), F.count(F.lit(1)).alias("rows"), money_sum("spend").alias("spend"),
-        *[F.sum(c).alias(c) for c in SUMS])
-    cells.write.mode("overwrite").partitionBy("_level").parquet(folder)
+    # the facts are read and shuffled once, into cells with every column of a level; the levels are sums of cells.
+    # Both are dealt by their number of rows, so that what a task sums up does not grow with the table
+    keys = [*DATES, *(c for c in DIMENSIONS if any(c in x for x in levels))]
+    sums = {"rows": F.count(F.lit(1)), "_exact": F.sum(money_exact(F.col("spend"))), "_rest": F.sum(money_rest(F.col("spend"))),
+            **{c: F.sum(c) for c in SUMS}}
+    cells = staged_table(_dealt(facts.select(*keys, "spend", *SUMS), keys).groupBy(*keys).agg(
+        *[e.alias(c) for c, e in sums.items()]), "rollup_cells")
     spark = facts.sparkSession
-    counts = {r["_level"]: r["count"] for r in spark.read.schema(cells.schema).parquet(folder).groupBy("_level").count().collect()}
     found = []
-    for dims in levels:
-        # a bit of the grouping id is 1 where a column was summed over; the first column is the highest bit
-        level = sum(1 << i for i, c in enumerate(reversed((*DATES, *DIMENSIONS))) if c not in (*DATES, *dims))
-        found.append((dims, counts.get(level, 0), f"{folder}/_level={level}"))
+    for i, dims in enumerate(levels):
+        own, path = [*DATES, *dims], f"{folder}/level_{i}"
+        rows = _dealt(cells, own).groupBy(*own).agg(*[F.sum(c).alias(c) for c in sums])
+        absent = {c: F.lit(None).cast(facts.schema[c].dataType) for c in DIMENSIONS if c not in dims}
+        rows.select(*DATES, *[absent.get(c, F.col(c)).alias(c) for c in DIMENSIONS], "rows",
+                    money_joined(F.col("_exact"), F.col("_rest")).alias("spend"), *SUMS).write.mode("overwrite").parquet(path)
+        found.append((dims, spark.read.parquet(path).count(), path))
     return Rollup(facts, sorted((f for f in found if f[1]), key=lambda f: f[1]))

@@ -97,3 +97,13 @@ def test_bitmaps_are_dealt_by_their_size_in_memory(spark, monkeypatch):
         "'f' AS source_file", "concat('a', id) AS ad_name", "'c' AS campaign", "'x' AS ad_delivery"))
     assert facets._dealt(index)(index).rdd.getNumPartitions() == 9  # 18 bitmaps
     assert tuple(op.kept_count(index, {"ad_name": ["a1", "a2"]}).first()) == (2, 10)
+
+
+def test_rollup_cells_are_dealt_by_their_number(spark, workdir, monkeypatch):
+    ads = ad_report(spark, tables(spark, f"{workdir}/t"))
+    monkeypatch.setattr(rollup, "ROWS_A_TASK", 50)
+    assert rollup._dealt(ads, ["ad_name"]).rdd.getNumPartitions() == 4
+    huge = ads.withColumn("spend", F.when(F.col("spend") > 190, F.lit(float(2 ** 70))).otherwise(F.col("spend")))
+    assert op.build_rollup(huge).report("kpis", date_range=None).collect() == op.kpis(huge).collect()
+    plain = op.build_rollup(ads)
+    assert plain.report("breakdown", "ad_name", date_range=None).collect() == op.breakdown(ads, "ad_name").collect()
