@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -17,15 +19,17 @@ def labels(spark, rows):
 
 
 def brute_probabilities(texts, order):
-    """Interpolated modified Kneser-Ney as in the textbook, over symbol tuples."""
-    from collections import Counter
+    """Interpolated modified Kneser-Ney as in the textbook, over the characters of the texts."""
     counts = {order: Counter()}
     for t in texts:
-        data = np.frombuffer(t.encode(), np.uint8)
-        s, _ = quality.symbols_of(data, np.array([0, len(data)]))
-        counts[order].update(tuple(s[i: i + order].tolist()) for i in range(len(s) - order + 1))
+        s = " " * (order - 1) + t + " "
+        counts[order].update(s[i: i + order] for i in range(len(s) - order + 1))
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
+    same = {k: defaultdict(dict) for k in counts}
+    for k, c in counts.items():
+        for g, v in c.items():
+            same[k][g[:-1]][g[-1]] = v
 
     def discounts(c):
         n = [sum(1 for v in c.values() if v == i) for i in range(1, 5)]
@@ -35,30 +39,88 @@ def brute_probabilities(texts, order):
 
     def p(g):
         if not g:
-            return 1 / quality.SYMBOLS
-        k, low = len(g), p(g[1:])
-        same = {s: counts[k][g[:-1] + (s,)] for s in range(quality.SYMBOLS)}
-        total = sum(same.values())
+            return 1 / quality.CHARACTERS
+        k, low, seen = len(g), p(g[1:]), same[len(g)].get(g[:-1], {})
+        total = sum(seen.values())
         if not total:
             return low
-        back = sum(d[k][min(c, 3)] for c in same.values()) / total
-        return max(same[g[-1]] - d[k][min(same[g[-1]], 3)], 0) / total + back * low
+        back = sum(d[k][min(c, 3)] for c in seen.values()) / total
+        c = seen.get(g[-1], 0)
+        return max(c - d[k][min(c, 3)], 0) / total + back * low
     return p
 
 
+def fold(spark, i):
+    return spark.range(1).selectExpr(f"pmod(xxhash64({i}L), {quality.HOLD_OUT}) as x").first().x
+
+
+def perplexity(text, p, order=quality.ORDER):
+    s = " " * (order - 1) + text + " "
+    logs = [math.log2(p(s[i: i + order])) for i in range(len(s) - order + 1)]
+    return 2 ** (-sum(logs) / len(logs))
+
+
+MANY = ["The an re, there Thing 12!", "restou ouer an an AN ÉÉ é", "съешь ещё этих мягких булок", "ещё этих булок, да",
+        "日本語の文章 日本の本", "a\x00b 𝔘𝔫𝔦 ẞ", "there there an", "one more text, of THE kind"]
+
+
 def test_probabilities(spark):
-    texts = ["The an re, there Thing 12!", "restou ouer an an AN ÉÉ é"]
-    model = quality.train(docs(spark, list(enumerate(texts))), labels(spark, [(0, 1, 0), (1, 1, 0)])).models["*"]
-    r = random.Random(1)
-    held_in = [t for i, t in enumerate(texts) if spark.range(1).selectExpr(
-        f"pmod(xxhash64({i}L), {quality.HOLD_OUT}) as x").first().x != 0]
-    p = brute_probabilities(held_in, quality.ORDER)
-    for _ in range(300):
-        g = tuple(r.randrange(quality.SYMBOLS) for _ in range(quality.ORDER))
-        t = quality.grams_of(np.array(g, np.uint8))[0]
-        assert np.isclose(2.0 ** -model[t], p(g), rtol=1e-4)
-    grams = np.arange(quality.SYMBOLS ** quality.ORDER).reshape(-1, quality.SYMBOLS)
-    assert np.allclose((2.0 ** -model[grams].astype(float)).sum(1), 1, atol=1e-4)  # each context's sum
+    corpus = quality.packed(docs(spark, list(enumerate(MANY))))
+    model = quality.train(corpus, labels(spark, [(i, 1, 0) for i in range(len(MANY))]))
+    folds = [fold(spark, i) for i in range(len(MANY))]
+    p = [brute_probabilities([t for t, f in zip(MANY, folds) if f != left], quality.ORDER) for left in range(-1, quality.HOLD_OUT)]
+    r, grams = random.Random(1), set()
+    for t in MANY:
+        grams |= {t[i: i + 4] for i in range(len(t) - 3)}
+    grams |= {"".join(r.choice("".join(MANY) + "ЖżZ") for _ in range(4)) for _ in range(200)}
+    wanted = spark.createDataFrame([(lang, g) for g in grams for lang in ("en", "*")], "lang string, g string")
+    got = {(x.lang, x.g): x.p for x in quality.probabilities(wanted, model).collect()}
+    assert set(got) == {(lang, g) for g in grams for lang in ("en", "*")}
+    for (_, g), found in got.items():
+        assert np.allclose(found, [q(g) for q in p], rtol=1e-9, atol=0)
+
+
+def test_perplexity_of_all_trusted_text_without_the_own_fold(spark):
+    """Real characters, every trusted text counted, each scored without its own fold; other languages by the pooled model."""
+    other = ["булок этих", "本日語", "AN an", "qqq ÉÉ"]
+    rows = [(i, t, ("en", "ru", None)[i % 3]) for i, t in enumerate(MANY * 3)] + [(100 + i, t, ("en", "ru", "xx", None)[i]) for i, t in enumerate(other)]
+    trust = [(i, 1, 0) for i in range(len(MANY) * 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r.kn.perplexity for r in quality.classify(d, labels(spark, trust)).collect()}
+    folds = {i: fold(spark, i) for i, *_ in trust}
+    brute = {}
+    for i, t, lang in rows:
+        own = lang if lang in ("en", "ru") else None
+        key = own, folds.get(i)
+        if key not in brute:
+            brute[key] = brute_probabilities([x for j, x, y in rows if j < 100 and (own is None or y == own)
+                                              and (i >= 100 or folds[j] != folds[i])], quality.ORDER)
+        assert np.isclose(got[i], perplexity(t, brute[key]), rtol=1e-5), (i, t)
+    assert len({got[100 + i] for i in range(4)}) == 4
+
+
+def test_letters_of_other_scripts_are_told_apart(spark):
+    r = random.Random(4)
+    text = lambda letters, n=60: " ".join("".join(r.choice(letters) for _ in range(r.randrange(3, 8))) for _ in range(n))
+    good = [(i, text("абвгд")) for i in range(120)]
+    bad = [(500 + i, text("цчшщъ")) for i in range(10)]
+    got = {x.doc_id: x.kn.keep for x in quality.classify(docs(spark, good + bad), labels(spark, [(i, 1, 0) for i in range(100)])).collect()}
+    assert sum(got[i] for i in range(100, 120)) >= 17
+    assert not any(got[i] for i, _ in bad)
+
+
+def test_runs_that_outgrow_a_table(spark, monkeypatch):
+    texts = [(i, prose(i, 30) + MANY[i % len(MANY)]) for i in range(40)]
+    data = np.frombuffer("".join(t for _, t in texts).encode(), np.uint8)
+    symbols, _ = quality.symbols_of(data, np.array([0, len(data)]))
+    grams, place = quality.grams_of(symbols)
+    assert "".join(map(chr, symbols)) == "   " + "".join(t for _, t in texts) + " "
+    monkeypatch.setattr(quality, "TABLE", 1)
+    again, other = quality.grams_of(symbols)
+    for g, at in ((grams, place), (again, other)):
+        names = quality.strings_of(symbols, at)
+        assert len(set(names)) == len(names)
+        assert [names[x] for x in g] == ["".join(map(chr, symbols[i: i + 4])) for i in range(len(symbols) - 3)]
 
 
 def test_tells_junk_and_odd_words_from_prose(spark):
