@@ -172,3 +172,15 @@ def test_length_alone_rejects_no_clean_text(spark):
     assert rejected(range(600, 900)) < 0.06
     assert rejected([i for i, _ in long]) <= rejected(range(600, 900)) + 0.03
     assert not any(got[i].keep for i, _ in bad)
+
+
+def test_blocks_of_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 9000)
+    monkeypatch.setattr(quality, "PART", "2k")
+    texts = [(i, MANY[i % len(MANY)] + prose(i, 20)) for i in range(60)]
+    got = quality.classify(docs(spark, texts).coalesce(1), labels(spark, [(i, 1, 0) for i in range(40)])).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == texts
+    folds = {i: fold(spark, i) for i in range(40)}
+    for r in (r for r in got if r.doc_id % 20 == 1):
+        p = brute_probabilities([t for i, t in texts if i in folds and folds[i] != folds.get(r.doc_id)], quality.ORDER)
+        assert np.isclose(r.kn.perplexity, perplexity(r.text, p), rtol=1e-5)
