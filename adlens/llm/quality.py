@@ -11,7 +11,9 @@ Perplexity comes from joins: documents are packed into blocks (a row is a compre
 part of one), a block asks for each distinct n-gram of its texts once, the
 questions meet the probabilities shard by shard (unseen n-grams back off order by order,
 down to one in ``CHARACTERS``), and the answers return to their block. Blocks are
-bucketed, so no text is shuffled.
+bucketed, so no text is shuffled. Answers, six numbers for each question, are the largest thing
+to be shuffled: blocks are dealt to ``WAVES`` waves, and get them wave by wave, so that no more
+than one wave of answers is on disk. Staged tables go once nothing reads them.
 
 Cross-fitting: documents are dealt to ``HOLD_OUT`` folds by a hash of their id, and each
 probability is kept ``HOLD_OUT`` + 1 times, of all trusted text and of all but one fold.
@@ -44,15 +46,17 @@ from __future__ import annotations
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adlens.llm.common import narrow, new_path, release, small_batches, staged
+from adlens.llm.common import discard, narrow, new_path, release, small_batches, staged
 from adlens.llm.shingle import text_chunks
 
 ORDER, HOLD_OUT = 4, 5
@@ -66,6 +70,8 @@ POOLED = "*"
 MODELS = HOLD_OUT + 1  # of all trusted text, and without each fold
 BLOCK, PART, PIECE = 24 << 20, "4m", 1 << 20  # bytes of documents in a block, in a row of it, looked at at once
 TABLE = 1 << 23  # entries up to which codes are ranked by a table
+WAVES = 3  # in which blocks get their answers
+LEVEL = 3  # of zstd, for blocks
 COMBINED = 1 << 19  # n-grams that a task holds before it hands them on
 _BLANK = np.array([32, 9, 10, 13, 11, 12])
 
@@ -126,7 +132,7 @@ class Layout(NamedTuple):
 
 
 class Corpus(NamedTuple):
-    """Documents packed into blocks: (block, first, ids, payload), a row a part, bucketed by block."""
+    """Documents packed into blocks: (block, first, ids, payload, wave), a row a part, partitioned by wave and bucketed by block."""
 
     blocks: DataFrame
     schema: T.StructType
@@ -134,11 +140,17 @@ class Corpus(NamedTuple):
     buckets: int
 
 
+def _wave() -> Column:
+    """The wave of a block."""
+    return (F.col("block") % WAVES).cast("int")
+
+
 def _bucketed(df: DataFrame, buckets: int, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder in buckets by block, and read it back."""
+    """Write ``df`` into the shared folder, a folder a wave, in buckets by block, and read it back."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex[:12]}"
-    df.write.format("parquet").bucketBy(buckets, "block").sortBy("block").option("path", new_path(spark, name)).saveAsTable(table)
+    df.withColumn("wave", _wave()).write.format("parquet").partitionBy("wave").bucketBy(buckets, "block").sortBy("block").option(
+        "path", new_path(spark, name)).saveAsTable(table)
     return spark.table(table)
 
 
@@ -150,13 +162,16 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, first = 0, BLOCK, 0
+        wave = TaskContext.get().partitionId()  # the tasks begin with different waves, and each deals its blocks in turn
+        codec = pa.Codec("zstd", compression_level=LEVEL)
         for batch in batches:
             if not batch.num_rows:
                 continue
             if size + batch.nbytes > BLOCK:
-                block, size, first = uuid.uuid4().int >> 65, 0, 0
+                block = (uuid.uuid4().int >> 66) // WAVES * WAVES + wave % WAVES
+                size, first, wave = 0, 0, wave + 1
             sink, ids = pa.BufferOutputStream(), batch.column(layout.id)
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as w:
                 w.write_batch(batch)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), pa.array([first], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
@@ -345,6 +360,7 @@ def kneser_ney(counts: DataFrame) -> list[DataFrame]:
         p = [F.when(F.col(f"{x}t") > 0, (F.col(x) - F.col(f"{x}d")) / F.col(f"{x}t")).otherwise(F.lit(0.0)) + weight[m] * low[m]
              for m, x in enumerate(c)]
         found.append(staged(t.select("lang", "g", "ctx", F.array(*p).alias("p"), F.array(*weight).alias("gamma")), "kn_probability"))
+    discard(*[orders[k] for k in range(1, ORDER)])
     return found
 
 
@@ -377,7 +393,11 @@ def train(corpus: Corpus, labels: DataFrame) -> Model:
     pooled = counts.groupBy("g").agg(*[F.sum(f"c{m}").alias(f"c{m}") for m in range(MODELS)]).withColumn("lang", F.lit(POOLED))
     every = staged(counts.where(F.col("lang") != POOLED).unionByName(pooled), "kn_counts")
     langs = staged(counts.select("lang").distinct().where(F.col("lang") != POOLED), "kn_langs")
-    return Model(kneser_ney(every), langs, folds)
+    discard(counts)
+    orders = kneser_ney(every)
+    discard(every)
+    release(spark)
+    return Model(orders, langs, folds)
 
 
 def probabilities(wanted: DataFrame, model: Model, order: int = ORDER) -> DataFrame:
@@ -394,18 +414,26 @@ def probabilities(wanted: DataFrame, model: Model, order: int = ORDER) -> DataFr
     backed = unseen.join(contexts, ["lang", "ctx"], "left").join(
         lower.select("lang", F.col("g").alias("low"), F.col("p").alias("lp")), ["lang", "low"]).select(
         "lang", "g", F.array(*[F.coalesce(F.col("gamma")[m], F.lit(1.0)) * F.col("lp")[m] for m in range(MODELS)]).alias("p"))
-    return staged(met.where("p IS NOT NULL").unionByName(backed), "kn_backed")
+    found = staged(met.where("p IS NOT NULL").unionByName(backed), "kn_backed")
+    discard(met, lower)
+    return found
 
 
-def surprises(corpus: Corpus, model: Model) -> DataFrame:
-    """(block, lang, g, b0 to b5): -log2 probabilities, in each model, of the n-grams of every block."""
+def questions(corpus: Corpus) -> DataFrame:
+    """(block, lang, g): the distinct n-grams of every block."""
     with small_batches(corpus.blocks.sparkSession, PART):
-        asked = staged(corpus.blocks.select("block", "payload").mapInArrow(
+        return staged(corpus.blocks.select("block", "payload").mapInArrow(
             _wanted(corpus.layout), "block long, lang string, g string"), "kn_asked")
-    by = F.coalesce("own", F.lit(POOLED)).alias("model")  # the model of a text's language
+
+
+def by_model(asked: DataFrame, model: Model) -> DataFrame:
+    """(block, lang, model, g): questions with the model of the text's language."""
     langs = F.broadcast(model.langs.select("lang", F.col("lang").alias("own")))  # a row a language
-    asked = asked.join(langs, "lang", "left").select("block", "lang", by, "g")
-    found = probabilities(asked.select(F.col("model").alias("lang"), "g").distinct(), model)
+    return asked.join(langs, "lang", "left").select("block", "lang", F.coalesce("own", F.lit(POOLED)).alias("model"), "g")
+
+
+def surprises(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(block, lang, g, b0 to b5): -log2 probabilities, in each model, of what blocks ask (``found``: see ``probabilities``)."""
     bits = [(-F.log2(F.col("p")[m])).cast("float").alias(f"b{m}") for m in range(MODELS)]
     answers = asked.join(found.select(F.col("lang").alias("model"), "g", *bits).hint("merge"), ["model", "g"])
     return answers.select("block", "lang", "g", *[f"b{m}" for m in range(MODELS)])
@@ -413,13 +441,17 @@ def surprises(corpus: Corpus, model: Model) -> DataFrame:
 
 def _letters(symbols: np.ndarray) -> np.ndarray:
     """Which symbols are letters (or marks on them)."""
-    alphabet, own = np.unique(symbols, return_inverse=True)
-    return np.array([unicodedata.category(chr(x))[0] in "LM" for x in alphabet.tolist()], bool)[own]
+    found = np.zeros(int(symbols.max()) + 1 if len(symbols) else 0, bool)
+    found[symbols] = True
+    alphabet = np.flatnonzero(found)
+    found[alphabet] = [unicodedata.category(chr(x))[0] in "LM" for x in alphabet.tolist()]
+    return found[symbols]
 
 
 def _scores(texts: pa.Array, langs: list[str], fold: np.ndarray, known: dict[str, dict[str, int]],
             bits: np.ndarray) -> Iterator[tuple[int, float | None, np.ndarray]]:
-    """(symbols, perplexity, surprise of every word in steps) of each text of a block, trusted texts without their own fold."""
+    """(symbols, perplexity, surprise of every word in steps, in order of size, which takes half the disk) of each text of a
+    block, trusted texts without their own fold."""
     for piece in _pieces(texts):
         own = langs[piece.first: piece.first + len(piece.at) - 1]
         names = {x: i for i, x in enumerate(dict.fromkeys(own))}
@@ -447,12 +479,12 @@ def _scores(texts: pa.Array, langs: list[str], fold: np.ndarray, known: dict[str
             begin, end = begin[long], end[long]
             total = np.concatenate([[0.0], np.cumsum(cost)])
             words = np.ceil((total[end] - total[begin]) / (end - begin) * BINS).astype(np.int32)
-            yield len(cost), float(2.0 ** cost.mean()), words
+            yield len(cost), float(2.0 ** cost.mean()), np.sort(words)
 
 
-def scored(corpus: Corpus, model: Model, bits: DataFrame) -> DataFrame:
-    """(block, place, lang, trusted, n_symbols, perplexity, words) of every document (``bits``: see ``surprises``); ``words``
-    holds the surprise of each word in steps of 1 / BINS."""
+def scored(corpus: Corpus, model: Model, bits: DataFrame, wave: int) -> DataFrame:
+    """(block, place, lang, trusted, n_symbols, perplexity, words) of every document of a wave (``bits``: see ``surprises``);
+    ``words`` holds the surprise of each word in steps of 1 / BINS."""
     layout = corpus.layout
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -472,11 +504,29 @@ def scored(corpus: Corpus, model: Model, bits: DataFrame) -> DataFrame:
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(words)))], names=_EMPTY.schema.names))
         return pa.concat_tables(parts)
 
-    blocks = corpus.blocks.select("block", "first", "payload").join(model.folds.hint("shuffle_hash"), "block", "left")
+    blocks = corpus.blocks.where(F.col("wave") == wave).select("block", "first", "payload").join(
+        model.folds.hint("shuffle_hash"), "block", "left")
     return blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(
         run, "block long, place int, lang string, trusted boolean, n_symbols long, perplexity double, words array<int>")
 
 
+def scored_in_waves(corpus: Corpus, model: Model) -> DataFrame:
+    """What ``scored`` gives of all waves. The n-grams of all blocks are looked up at once, their answers shuffled wave by wave."""
+    spark = corpus.blocks.sparkSession
+    written = questions(corpus)
+    asked = by_model(written, model)
+    found = probabilities(asked.select(F.col("model").alias("lang"), "g").distinct(), model)
+    discard(*model.orders)
+    release(spark)
+    facts = []
+    for wave in sorted(r.wave for r in corpus.blocks.select("wave").distinct().collect()) or [0]:
+        with small_batches(spark, PART):
+            facts.append(staged(scored(corpus, model, surprises(asked.where(_wave() == wave), found), wave), "kn_scored"))
+        release(spark)
+    discard(written, found)
+    return reduce(DataFrame.unionByName, facts)
+
+
 _EMPTY = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("lang", pa.string()), ("trusted", pa.bool_()),
                     ("n_symbols", pa.int64()), ("perplexity", pa.float64()), ("words", pa.list_(pa.int32()))]).empty_table()
 
@@ -556,8 +606,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     perplexity, odd_words (their excess), n_symbols, n_words, n_odd, both limits, keep."""
     corpus = packed(docs, id_col, text_col, lang_col)
     model = train(corpus, labels)
-    bits = surprises(corpus, model)
-    with small_batches(docs.sparkSession, PART):
-        facts = staged(scored(corpus, model, bits), "kn_scored")
-    release(docs.sparkSession)
+    facts = scored_in_waves(corpus, model)
     return restored(corpus, judged(facts, limits_of(facts, perplexity_quantile, word_quantile)), out)

@@ -1,10 +1,13 @@
 import math
+import os
 import random
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
 
 from adlens.llm import quality
+from adlens.llm.common import discard, new_path, staged
 from tests.llm.fixtures_llm import AWKWARD, docs
 
 
@@ -184,3 +187,45 @@ def test_blocks_of_many_parts(spark, monkeypatch):
     for r in (r for r in got if r.doc_id % 20 == 1):
         p = brute_probabilities([t for i, t in texts if i in folds and folds[i] != folds.get(r.doc_id)], quality.ORDER)
         assert np.isclose(r.kn.perplexity, perplexity(r.text, p), rtol=1e-5)
+
+
+def test_answers_come_in_waves_and_spent_tables_go(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 1)  # a block a part
+    monkeypatch.setattr(quality, "PART", "2k")
+    before, answered = set(staged_names(spark)), []
+    scored = quality.scored
+
+    def watched(corpus, model, bits, wave):
+        asks = {r.block for r in bits.select("block").distinct().collect()}
+        assert asks == {r.block for r in corpus.blocks.where(f"wave = {wave}").select("block").distinct().collect()}
+        answered.append(asks)
+        return scored(corpus, model, bits, wave)
+
+    monkeypatch.setattr(quality, "scored", watched)
+    texts = [(i, MANY[i % len(MANY)] + prose(i, 20)) for i in range(60)]
+    done = quality.classify(docs(spark, texts).coalesce(1), labels(spark, [(i, 1, 0) for i in range(40)]))
+    left = {x.rpartition("_")[0] for x in set(staged_names(spark)) - before}
+    assert not left & {"kn_asked", "kn_met", "kn_backed", "kn_probability", "kn_counts", "kn_order"}
+    assert len(answered) == quality.WAVES
+    sizes = [len(x) for x in answered]
+    assert len(set().union(*answered)) == sum(sizes) and max(sizes) - min(sizes) <= 1  # dealt in turn, each block once
+    assert sorted((r.doc_id, r.text) for r in done.collect()) == texts
+
+
+def staged_names(spark):
+    root = new_path(spark, "x").rpartition("/")[0].removeprefix("file:")
+    return os.listdir(root)
+
+
+def test_letters():
+    text = "aÉ\u0301 ж9_日𝔘!\u200b"
+    found = quality._letters(np.array([ord(x) for x in text], np.uint32)).tolist()
+    assert found == [unicodedata.category(x)[0] in "LM" for x in text]
+    assert not len(quality._letters(np.zeros(0, np.uint32)))
+
+
+def test_discard(spark):
+    kept, spent = staged(spark.range(3), "kept"), staged(spark.range(3), "spent")
+    discard(spent, spark.range(3), spent)
+    names = staged_names(spark)
+    assert kept.count() == 3 and any(x.startswith("kept_") for x in names) and not any(x.startswith("spent_") for x in names)
