@@ -3,6 +3,8 @@
 import contextlib
 import glob
 import io
+import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -107,3 +109,18 @@ def test_rollup_cells_are_dealt_by_their_number(spark, workdir, monkeypatch):
     assert op.build_rollup(huge).report("kpis", date_range=None).collect() == op.kpis(huge).collect()
     plain = op.build_rollup(ads)
     assert plain.report("breakdown", "ad_name", date_range=None).collect() == op.breakdown(ads, "ad_name").collect()
+
+
+def shuffles(spark) -> set[str]:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return set(re.findall(r"shuffle_[0-9]+", files.mkString(" ")))
+
+
+def test_shuffle_files_of_staging_go_once_the_table_is_there(spark, workdir):
+    folder = tables(spark, workdir)
+    before = shuffles(spark)
+    staged = adapter.ad_report(spark, folder)
+    until = time.time() + 10
+    while shuffles(spark) - before and time.time() < until:  # they are deleted in the background
+        time.sleep(0.2)
+    assert not shuffles(spark) - before and staged.count() == 200
