@@ -2,11 +2,14 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from adlens import operators as op
 from adlens.schema import REQUIRED_COLUMNS
+from adlens.session import shared_dir
 from adlens.sources import read_exports
 from adlens.sources.catalog import export_files
-from adlens.streaming import read_streamed, stream_daily, stream_exports, streamed_daily, streamed_sources
+from adlens.streaming import daily, read_streamed, stream_daily, stream_exports, streamed_daily, streamed_sources
 from tests.fixtures import B1, HEADER, NAME_A, NAME_B, SAMPLE_A, SAMPLE_B, cells, total, write
 
 
@@ -84,3 +87,28 @@ def test_catalog_of_files(spark, workdir):
     few = spark.read.format("ad_files").option("files_a_partition", 2).load(f"{workdir}/in")
     assert few.rdd.getNumPartitions() == 3 and few.count() == 6
     assert export_files(spark, [f"{workdir}/nothing"]).count() == 0
+
+
+def staged_folders(spark):
+    return {x for x in os.listdir(shared_dir(spark).removeprefix("file:")) if x.startswith("adlens_raw_")}
+
+
+def test_files_of_a_batch_are_staged_in_runs_that_go_again(spark, workdir, monkeypatch):
+    drop, table = (os.path.join(workdir, x) for x in ("drop", "table"))
+    for i in range(3):
+        write(drop, f"{i}.csv", [HEADER] + SAMPLE_A * (i + 1))
+    write(drop, "bad.csv", ["Ad name", "x"])
+    before, runs = staged_folders(spark), []
+    monkeypatch.setattr(daily, "_loads", lambda files, cores: runs.append([[p] for p, _ in files]) or runs[-1])
+    stream_daily(spark, drop, table).awaitTermination(120)
+    assert [len(r) for r in runs] == [4]
+    assert streamed(spark, table) == batch_daily(spark, drop)
+    rows = spark.read.parquet(table + "/daily").agg(F.sum("rows")).first()[0]
+    assert rows == 2 + 4 + 6 and len(staged_folders(spark) - before) == 1  # that of batch_daily
+
+
+def test_runs_are_bounded_by_bytes_and_have_work_for_every_core():
+    files = [(f"f{i}", 100) for i in range(20)]
+    assert [len(x) for x in daily._loads(files, 1, 250)] == [4, 4, 4, 4, 4]
+    assert [len(x) for x in daily._loads(files, 1, 650)] == [7, 7, 6]
+    assert sum(daily._loads(files, 2, 250), []) == [f for f, _ in files]
